@@ -35,7 +35,10 @@ def row_fingerprint(df: DataFrame) -> Column:
 
 
 def _default_ties(df: DataFrame, ties: Sequence[Column] | None) -> Sequence[Column]:
-    return [F.desc_nulls_last("posted_at"), row_fingerprint(df)] if ties is None else ties
+    """The rules themselves leave ties open; these settle them by content, so re-runs agree."""
+    if ties is not None:
+        return ties
+    return [F.desc_nulls_last("posted_at"), F.asc("title"), F.asc_nulls_first("company"), row_fingerprint(df)]
 
 
 def dedup_latest(df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequence[Column] | None = None) -> DataFrame:

@@ -143,27 +143,29 @@ def _pattern(spellings: Sequence[str]) -> str:
     return f"(?iu)(?<!{_WORD})(?=({'|'.join(branches)})(?!{_WORD}))"
 
 
+def _ranks_found(text: Column, group: dict[str, list[str]], rank: dict[str, int]) -> Column:
+    """Taxonomy positions of the skills one scan finds."""
+    ranks = F.create_map(
+        *[
+            item
+            for spelling, owners in group.items()
+            for item in (F.lit(spelling), F.array(*[F.lit(rank[o]) for o in dict.fromkeys(owners)]))
+        ]
+    )
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(_pattern(list(group))), F.lit(1)))
+    # Case folding as the case-insensitive match does it: dotted capital I, dotless i, long s and
+    # the Kelvin sign all equal their ASCII letter.
+    return F.flatten(
+        F.transform(hits, lambda hit: F.try_element_at(ranks, F.lower(F.upper(F.translate(hit, "İ", "I")))))
+    )
+
+
 def extract_skills(text: Column, taxonomy: Sequence[Skill] = STANDARD_TAXONOMY) -> Column:
     """Canonical names found in the text, in taxonomy order, each once; NULL or '' gives []."""
     names = list(dict.fromkeys(skill.canonical for skill in taxonomy))
     rank = {name: i for i, name in enumerate(names)}
     filled = F.coalesce(text, F.lit(""))
-    found = F.array().cast("array<int>")
-    for group in _scan_groups(taxonomy):
-        ranks = F.create_map(
-            *[
-                item
-                for spelling, owners in group.items()
-                for item in (F.lit(spelling), F.array(*[F.lit(rank[o]) for o in dict.fromkeys(owners)]))
-            ]
-        )
-        hits = F.array_distinct(F.regexp_extract_all(filled, F.lit(_pattern(list(group))), F.lit(1)))
-        # Case folding as the case-insensitive match does it: dotted capital I, dotless i, long s
-        # and the Kelvin sign all equal their ASCII letter.
-        folded = F.transform(hits, lambda hit: F.lower(F.upper(F.translate(hit, "İ", "I"))))
-        found = F.concat(
-            found, F.flatten(F.transform(folded, lambda hit, ranks=ranks: F.try_element_at(ranks, hit)))
-        )
+    found = F.concat(*[_ranks_found(filled, group, rank) for group in _scan_groups(taxonomy)])
     canonical = F.array(*[F.lit(name) for name in names])
     return F.transform(F.array_sort(F.array_distinct(found)), lambda i: F.get(canonical, i))
 

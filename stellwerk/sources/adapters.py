@@ -142,7 +142,7 @@ def adapt_bundesagentur(landing: DataFrame) -> DataFrame:
             ),
             "url": F.concat(F.lit(BA_DETAIL_URL), _r("refnr")),
         },
-        keep=_given(_r("refnr")),
+        keep=blank_to_null(_r("refnr")).isNotNull(),
     )
 
 
@@ -153,7 +153,7 @@ def adapt_arbeitnow(landing: DataFrame) -> DataFrame:
         """slug string, id string, title string, description string, company_name string, location string,
         remote boolean, job_types array<string>, tags array<string>, created_at string, url string""",
         {
-            "source_id": F.coalesce(blank_to_null(_r("slug")), _r("id"), F.lit("")),
+            "source_id": F.coalesce(blank_to_null(_r("slug")), F.when(_given(_r("id")), _r("id")), F.lit("")),
             "title": _or(_r("title"), UNTITLED),
             "description": F.coalesce(_r("description"), F.lit("")),
             "company": _r("company_name"),
@@ -178,7 +178,7 @@ def adapt_jooble(landing: DataFrame) -> DataFrame:
         """id string, title string, snippet string, company string, location string, salary string, type string,
         updated string, link string""",
         {
-            "source_id": F.coalesce(_r("id"), F.lit("")),
+            "source_id": F.when(_given(_r("id")), _r("id")).otherwise(F.lit("")),
             "title": _or(_r("title"), UNTITLED),
             "description": F.coalesce(_r("snippet"), F.lit("")),
             "company": _r("company"),
@@ -223,7 +223,7 @@ def adapt_jsearch(landing: DataFrame) -> DataFrame:
             "posted_at": parse_iso(_r("job_posted_at_datetime_utc")),
             "url": _r("job_apply_link"),
         },
-        keep=_given(_r("job_id")) & _given(_r("job_title")),
+        keep=blank_to_null(_r("job_id")).isNotNull() & blank_to_null(_r("job_title")).isNotNull(),
     )
 
 

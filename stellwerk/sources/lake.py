@@ -15,8 +15,11 @@ GOLD_TABLES = ["fact_jobs", "fact_skills", "dim_company", "dim_location", "dim_d
 
 
 def _partition_columns(df: DataFrame, run_day: dt.date | str | None, run: str) -> DataFrame:
-    """source/year/month/day/category/run; the day is the run day, by default that of the fetch."""
-    day = F.to_date("fetched_at") if run_day is None else day_literal(run_day)
+    """source/year/month/day/category/run; the day is the given one, a ``run_day`` column or the fetch day."""
+    if run_day is not None:
+        day = day_literal(run_day)
+    else:
+        day = F.col("run_day") if "run_day" in df.columns else F.to_date("fetched_at")
     return df.withColumns(
         {
             "year": F.date_format(day, "yyyy"),
