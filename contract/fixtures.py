@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from stellwerk.operators.dedup import dedup_bronze, staging
 from stellwerk.operators.gold import build_gold
 from stellwerk.operators.silver import project_silver
 from stellwerk.operators.skills import Skill
-from stellwerk.session import configure
+from stellwerk.session import configure, shared_folder
+from stellwerk.sources import lake
 from stellwerk.sources.unify import with_keys
 
 # Dictionary for posting descriptions, which hold part names and types.
@@ -154,12 +158,52 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_silver(dedup_bronze(bronze(spark, sf_dir), ("run_day",), ties()), PART_LEXICON)
 
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lazy_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging(silver(spark, sf_dir), [F.desc("run_day"), F.asc("job_id")])
 
 
+def _input_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and modification times of the input files."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in system.listStatus(folder))
+    return hashlib.sha256("|".join(files).encode()).hexdigest()[:16]
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def _tables_root(spark: SparkSession, sf_dir: str) -> str | None:
+    """Write staging and the star schema of these inputs once per session, as the gold job does.
+
+    Every query on gold then reads stored tables with column pruning and filter pushdown instead of
+    repeating the deduplication. Changed input files lead to new tables.
+    """
+    folder = shared_folder(spark)
+    if folder is None:
+        return None
+    key = (spark.sparkContext.applicationId, _input_state(spark, sf_dir))
+    if key not in _written:
+        root = f"{folder}/tables-{uuid.uuid4().hex}"
+        lazy_staged(spark, sf_dir).write.parquet(f"{root}/staging")
+        lake.write_gold(build_gold(spark.read.parquet(f"{root}/staging"), CALENDAR_END), f"{root}/gold")
+        _written[key] = root
+    return _written[key]
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    root = _tables_root(spark, sf_dir)
+    return lazy_staged(spark, sf_dir) if root is None else spark.read.parquet(f"{root}/staging")
+
+
 def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return build_gold(staged(spark, sf_dir), CALENDAR_END)
+    configure(spark)
+    root = _tables_root(spark, sf_dir)
+    if root is None:
+        return build_gold(lazy_staged(spark, sf_dir), CALENDAR_END)
+    return lake.read_gold(spark, f"{root}/gold")
 
 
 # ---- visit log ---------------------------------------------------------------------------------

@@ -171,11 +171,11 @@ def landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
 
 
 def landing_lines(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """The postings of one board as landing text lines, one page per order and category, fetched on its run day."""
+    """The postings of one board as landing text lines, one page per order, fetched on its run day."""
     from stellwerk.sources.landing import ENVELOPES
 
     rows = bronze(spark, sf_dir).where(F.col("source") == source)
-    pages = rows.groupBy("search_category", F.split_part("source_id", F.lit("-"), F.lit(1)).alias("page"), "run_day").agg(
+    pages = rows.groupBy(F.split_part("source_id", F.lit("-"), F.lit(1)).alias("page"), "run_day").agg(
         F.collect_list(_record(source)).alias("items")
     )
     body = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
@@ -183,9 +183,7 @@ def landing_lines(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         body = F.concat(F.lit('{"' + name + '":'), body, F.lit("}"))
     return pages.select(
         F.concat(
-            F.lit('{"search_category":"'),
-            "search_category",
-            F.lit('","page":'),
+            F.lit('{"search_category":"all","page":'),
             "page",
             F.lit(',"fetched_at":"'),
             F.date_format("run_day", _MOMENT),

@@ -140,16 +140,14 @@ def dim_location(spark, sf_dir):
 
 @register("fact_jobs")
 def fact_jobs(spark, sf_dir):
-    rows = fx.gold(spark, sf_dir)["fact_jobs"]
-    return rows.select(
-        *[c for c in rows.columns if c != "skills"],
-        joined("skills"),
-    )
+    staged = fx.staged(spark, sf_dir)
+    rows = star.build_fact_jobs(staged, star.build_dim_company(staged))
+    return rows.select(*[c for c in rows.columns if c != "skills"], joined("skills"))
 
 
 @register("fact_skills")
 def fact_skills(spark, sf_dir):
-    return fx.gold(spark, sf_dir)["fact_skills"]
+    return star.build_fact_skills(fx.staged(spark, sf_dir))
 
 
 @register("posting_calendar")
@@ -397,9 +395,9 @@ def jobs_per_day(spark, sf_dir):
 
 
 def _distribution(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "grp", "n", money("salary_p25"), money("salary_median"), money("salary_p75"), money("salary_mid")
-    )
+    """Interpolated quartiles of amounts in hundredths have up to seven decimals; eight keep them apart."""
+    quartiles = [F.round(c, 8).alias(c) for c in ("salary_p25", "salary_median", "salary_p75")]
+    return rows.select("grp", "n", *quartiles, money("salary_mid"))
 
 
 for _group in metrics.DISTRIBUTION_GROUPS:
@@ -417,7 +415,7 @@ def salary_distribution_approx(spark, sf_dir):
 def salary_quantiles_lineitem(spark, sf_dir):
     """Exact quantiles over all order lines, without deduplication."""
     rows = metrics.exact_quantiles(fx.postings(spark, sf_dir), "source", "salary_min", (0.01, 0.5, 0.99))
-    return rows.select("grp", "n", *[F.round(F.get("q", i), 2).alias(f"q{i}") for i in range(3)])
+    return rows.select("grp", "n", *[F.round(F.get("q", i), 7).alias(f"q{i}") for i in range(3)])
 
 
 @register("salary_spread")
@@ -594,8 +592,12 @@ def backfill(spark, sf_dir):
         *rows.columns,
         *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")],
         F.lit(False).alias("salary_present"),
-    ).withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withColumn(
-        "posted_at", F.col("posted_at").cast("timestamp")
+    ).withColumns(
+        {
+            "fetched_at": F.col("fetched_at").cast("timestamp"),
+            "posted_at": F.col("posted_at").cast("timestamp"),
+            "search_category": F.lit("all"),
+        }
     )
     lake.write_bronze(stored, f"{root}/{batch.BRONZE}", "initial")
     batch.refresh_silver(spark, root, "1996-01-01", "1999-06-30", taxonomy=fx.PART_LEXICON)

@@ -476,7 +476,7 @@ WHERE posted_at >= DATE '{POSTINGS_AS_OF}' - INTERVAL 365 DAY GROUP BY 1""",
 )
 
 
-def _distribution(column: str, digits: int = 2) -> str:
+def _distribution(column: str, digits: int = 8) -> str:
     quartiles = ", ".join(
         f"round(quantile_cont(f.salary_mid, {q}), {digits}) AS {name}"
         for q, name in ((0.25, "salary_p25"), (0.5, "salary_median"), (0.75, "salary_p75"))
@@ -490,14 +490,14 @@ for _group, _column in {"category": "f.category", "city": "s.city", "state": "s.
     _add(f"salary_distribution_{_group}", _distribution(_column))
 _add(
     "salary_quantiles_lineitem",
-    """SELECT source AS grp, count(*) AS n, round(quantile_cont(salary_min, 0.01), 2) AS q0,
-       round(quantile_cont(salary_min, 0.5), 2) AS q1, round(quantile_cont(salary_min, 0.99), 2) AS q2
+    """SELECT source AS grp, count(*) AS n, round(quantile_cont(salary_min, 0.01), 7) AS q0,
+       round(quantile_cont(salary_min, 0.5), 7) AS q1, round(quantile_cont(salary_min, 0.99), 7) AS q2
 FROM postings WHERE salary_min IS NOT NULL GROUP BY 1""",
 )
 _add(
     "salary_spread",
     f"""SELECT grp, round(salary_median, 2) AS median, round(greatest(0, salary_p75 - salary_p25), 2) AS spread,
-       round(salary_p25, 2) AS p25 FROM ({_distribution('s.state', 9)})""",
+       round(salary_p25, 2) AS p25 FROM ({_distribution('s.state')})""",
 )
 _add(
     "source_distribution",

@@ -57,10 +57,12 @@ def _first_of(text: Column) -> Column:
 
 def _project(landing: DataFrame, fields: str, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
     """Parse and project. Records that are no JSON objects stay, with empty columns, for validation."""
-    parsed = landing.withColumn("r", F.from_json("record", fields))
+    meta = ["source", "search_category", "fetched_at", "page", "record"]
+    parsed = landing.select(*meta, F.from_json("record", fields).alias("r"))
     if keep is not None:
-        parsed = parsed.where(keep | ~is_json_object(F.col("record")))
-    meta = {"source", "search_category", "fetched_at", "page", "record"}
+        # A filter would be pushed below the parsing and parse every record a second time.
+        kept = F.when(keep | ~is_json_object(F.col("record")), F.array("r"))
+        parsed = parsed.select(*meta, F.explode(kept).alias("r"))
     return parsed.select(
         *[
             F.col(field.name)
@@ -78,7 +80,8 @@ def _filled(array: Column) -> Column:
 
 def adapt_adzuna(landing: DataFrame) -> DataFrame:
     area = _r("location.area")
-    lowest, highest = (F.get_json_object("record", f"$.salary_{end}") for end in ("min", "max"))
+    # Numbers count as salaries, any other given value only as a sign that there is one.
+    written = F.from_json("record", "salary_min string, salary_max string")
     return _project(
         landing,
         """id string, title string, description string, company struct<display_name: string>,
@@ -101,7 +104,7 @@ def adapt_adzuna(landing: DataFrame) -> DataFrame:
             "longitude": _r("longitude"),
             "salary_min": _r("salary_min"),
             "salary_max": _r("salary_max"),
-            "salary_present": _given(lowest) | _given(highest),
+            "salary_present": _given(written["salary_min"]) | _given(written["salary_max"]),
             "currency": _or(_r("salary_currency"), "EUR"),
             "contract_type": _r("contract_type"),
             "contract_time": _r("contract_time"),
