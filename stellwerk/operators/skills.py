@@ -156,7 +156,7 @@ def _ranks_found(text: Column, group: dict[str, list[str]], rank: dict[str, int]
     # Case folding as the case-insensitive match does it: dotted capital I, dotless i, long s and
     # the Kelvin sign all equal their ASCII letter.
     return F.flatten(
-        F.transform(hits, lambda hit: F.try_element_at(ranks, F.lower(F.upper(F.translate(hit, "İ", "I")))))
+        F.transform(hits, lambda hit: F.try_element_at(ranks, F.lower(F.translate(hit, "İıſ\u212a", "iisk"))))
     )
 
 
