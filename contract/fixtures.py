@@ -48,13 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread the rows of a table that is one small file, and hence one task, over all cores."""
+    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(key)
+    return df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as job postings: order priority is the board, part the title, supplier the company."""
     lines, orders, part, supplier, nation, region = (
         table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "nation", "region")
     )
     joined = (
-        lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+        spread(lines, "l_orderkey").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(part, F.col("p_partkey") == F.col("l_partkey"))
         .join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .join(nation, F.col("n_nationkey") == F.col("s_nationkey"))

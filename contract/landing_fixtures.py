@@ -167,6 +167,7 @@ def landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         F.col("l_linenumber").alias("page"),
         F.col("fetched_at").cast("timestamp").alias("fetched_at"),
         _record(source).alias("record"),
+        F.lit(True).alias("intact"),
     )
 
 

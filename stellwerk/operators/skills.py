@@ -107,23 +107,23 @@ def _same_start(a: str, b: str) -> bool:
     return long.startswith(short) and re.match(_WORD, long[len(short) :]) is None
 
 
-def _scan_groups(taxonomy: Sequence[Skill]) -> list[dict[str, list[str]]]:
+def _scan_groups(taxonomy: Sequence[Skill]) -> list[dict[str, list[int]]]:
     """Distribute spellings over as few scans as possible without same-start conflicts.
 
-    Each scan maps a spelling to the skills that use it.
+    Each scan maps a spelling to the positions of the entries that use it.
     """
-    groups: list[dict[str, list[str]]] = []
-    for skill in taxonomy:
+    groups: list[dict[str, list[int]]] = []
+    for position, skill in enumerate(taxonomy):
         for spelling in _needed_variants(skill):
             for group in groups:
                 if spelling in group:
-                    group[spelling].append(skill.canonical)
+                    group[spelling].append(position)
                     break
                 if not any(_same_start(spelling, other) for other in group):
-                    group[spelling] = [skill.canonical]
+                    group[spelling] = [position]
                     break
             else:
-                groups.append({spelling: [skill.canonical]})
+                groups.append({spelling: [position]})
     return groups
 
 
@@ -143,31 +143,25 @@ def _pattern(spellings: Sequence[str]) -> str:
     return f"(?iu)(?<!{_WORD})(?=({'|'.join(branches)})(?!{_WORD}))"
 
 
-def _ranks_found(text: Column, group: dict[str, list[str]], rank: dict[str, int]) -> Column:
-    """Taxonomy positions of the skills one scan finds."""
-    ranks = F.create_map(
-        *[
-            item
-            for spelling, owners in group.items()
-            for item in (F.lit(spelling), F.array(*[F.lit(rank[o]) for o in dict.fromkeys(owners)]))
-        ]
+def _positions_found(text: Column, group: dict[str, list[int]]) -> Column:
+    """Taxonomy positions of the entries one scan finds."""
+    positions = F.create_map(
+        *[item for spelling, entries in group.items() for item in (F.lit(spelling), F.array(*map(F.lit, entries)))]
     )
     hits = F.array_distinct(F.regexp_extract_all(text, F.lit(_pattern(list(group))), F.lit(1)))
     # Case folding as the case-insensitive match does it: dotted capital I, dotless i, long s and
     # the Kelvin sign all equal their ASCII letter.
     return F.flatten(
-        F.transform(hits, lambda hit: F.try_element_at(ranks, F.lower(F.translate(hit, "İıſ\u212a", "iisk"))))
+        F.transform(hits, lambda hit: F.try_element_at(positions, F.lower(F.translate(hit, "İıſ\u212a", "iisk"))))
     )
 
 
 def extract_skills(text: Column, taxonomy: Sequence[Skill] = STANDARD_TAXONOMY) -> Column:
     """Canonical names found in the text, in taxonomy order, each once; NULL or '' gives []."""
-    names = list(dict.fromkeys(skill.canonical for skill in taxonomy))
-    rank = {name: i for i, name in enumerate(names)}
     filled = F.coalesce(text, F.lit(""))
-    found = F.concat(*[_ranks_found(filled, group, rank) for group in _scan_groups(taxonomy)])
-    canonical = F.array(*[F.lit(name) for name in names])
-    return F.transform(F.array_sort(F.array_distinct(found)), lambda i: F.get(canonical, i))
+    found = F.concat(*[_positions_found(filled, group) for group in _scan_groups(taxonomy)])
+    canonical = F.array(*[F.lit(skill.canonical) for skill in taxonomy])
+    return F.array_distinct(F.transform(F.array_sort(found), lambda i: F.get(canonical, i)))
 
 
 def with_skills(

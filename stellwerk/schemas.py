@@ -58,7 +58,12 @@ _POSTING_FIELDS = [
 
 # What an adapter yields: the posting, the page it came from and its raw record.
 RAW = T.StructType(
-    _POSTING_FIELDS + [T.StructField("page", T.IntegerType()), T.StructField("record", T.StringType())]
+    _POSTING_FIELDS
+    + [
+        T.StructField("page", T.IntegerType()),
+        T.StructField("record", T.StringType()),
+        T.StructField("intact", T.BooleanType()),
+    ]
 )
 
 _KEY_FIELDS = [

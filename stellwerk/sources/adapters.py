@@ -17,7 +17,7 @@ from stellwerk.functions.moments import (
     parse_iso_or_epoch,
     parse_mislabelled_berlin,
 )
-from stellwerk.functions.text import blank_to_null, is_json_object, is_relevant_location
+from stellwerk.functions.text import blank_to_null, is_relevant_location
 from stellwerk.schemas import COUNTRY, RAW, REMOTE, UNTITLED
 
 BA_DETAIL_URL = "https://www.arbeitsagentur.de/jobsuche/jobdetail/"
@@ -57,11 +57,11 @@ def _first_of(text: Column) -> Column:
 
 def _project(landing: DataFrame, fields: str, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
     """Parse and project. Records that are no JSON objects stay, with empty columns, for validation."""
-    meta = ["source", "search_category", "fetched_at", "page", "record"]
+    meta = ["source", "search_category", "fetched_at", "page", "record", "intact"]
     parsed = landing.select(*meta, F.from_json("record", fields).alias("r"))
     if keep is not None:
         # A filter would be pushed below the parsing and parse every record a second time.
-        kept = F.when(keep | ~is_json_object(F.col("record")), F.array("r"))
+        kept = F.when(keep | ~F.col("intact"), F.array("r"))
         parsed = parsed.select(*meta, F.explode(kept).alias("r"))
     return parsed.select(
         *[

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.functions.moments import parse_iso
+from stellwerk.functions.text import is_json_object
 
 # Where each board puts the postings in its response; '' is a bare array.
 ENVELOPES = {
@@ -41,7 +42,10 @@ def line_schema(source: str) -> str:
 
 
 def records(lines: DataFrame, source: str) -> DataFrame:
-    """One row per posting of the response lines; a broken line becomes one record of its own."""
+    """One row per posting of the response lines; a broken line becomes one record of its own.
+
+    ``intact`` tells whether the record is a well-formed JSON object.
+    """
     postings = "body" + "".join(f".`{p}`" for p in ENVELOPES[source].split(".") if p)
     broken = F.col("_corrupt_record").isNotNull()
     return lines.select(
@@ -49,12 +53,13 @@ def records(lines: DataFrame, source: str) -> DataFrame:
         "search_category",
         F.col("page").try_cast("int").alias("page"),
         parse_iso(F.col("fetched_at")).alias("fetched_at"),
+        (~broken).alias("intact"),
         F.explode(F.when(broken, F.array("_corrupt_record")).otherwise(F.col(postings))).alias("record"),
-    )
+    ).withColumn("intact", F.col("intact") & is_json_object(F.col("record")))
 
 
 def read_landing(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """Postings of one board: source, search_category, page, fetched_at, record (JSON text)."""
+    """Postings of one board: source, search_category, page, fetched_at, record (JSON text), intact."""
     return records(spark.read.schema(line_schema(source)).json(path), source)
 
 
@@ -66,7 +71,7 @@ def read_landing_stream(spark: SparkSession, source: str, path: str, files_per_t
 
 def read_raw_pages(spark: SparkSession, source: str, path: str) -> DataFrame:
     """Plain response files below ``search_category=…/page=…/fetched_at=…`` directories."""
-    pages = spark.read.option("wholetext", True).option("basePath", path).text(path)
+    pages = spark.read.option("basePath", path).text(path, wholetext=True)
     body = F.from_json("value", body_type(source))
     broken = body.isNull() if source == "remoteok" else F.get_json_object("value", "$").isNull()
     # The time zone of a directory name is UTC.
