@@ -21,7 +21,7 @@ from contract.landing_fixtures import landing  # noqa: E402
 from stellwerk.operators import activity, dedup, metrics, quality, skills, visits  # noqa: E402
 from stellwerk.operators.gold import build_gold  # noqa: E402
 from stellwerk.operators.search import JobsFilter, search  # noqa: E402
-from stellwerk.operators.silver import project_silver  # noqa: E402
+from stellwerk.operators.silver import bronze_to_silver  # noqa: E402
 from stellwerk.session import local_session  # noqa: E402
 from stellwerk.sources import lake  # noqa: E402
 from stellwerk.sources.adapters import ADAPTERS  # noqa: E402
@@ -57,7 +57,7 @@ def main() -> None:
     bronze = spark.read.parquet(f"{root}/bronze")
     timed(
         "refresh_silver",
-        lambda: project_silver(dedup.dedup_bronze(bronze, ("run_day",), fx.ties()), fx.PART_LEXICON).write.parquet(
+        lambda: bronze_to_silver(lake.located(bronze), fx.PART_LEXICON, ("run_day",), fx.ties()).write.parquet(
             f"{root}/silver"
         ),
     )
@@ -77,6 +77,7 @@ def main() -> None:
     queries = {
         "dedup_latest": lambda: dedup.dedup_latest(bronze, (), fx.ties()),
         "dedup_chain": lambda: dedup.dedup_bronze(bronze, ("run_day",), fx.ties()),
+        "dedup_stored": lambda: dedup.dedup_stored_bronze(lake.located(bronze), ("run_day",), fx.ties()),
         "adapt_adzuna": lambda: ADAPTERS["adzuna"](records),
         "extract_skills": lambda: skills.with_skills(documents, "text").select("doc_id", "skills"),
         "search_page": lambda: search(gold, JobsFilter(search="ring", only_with_salary=True, limit=100)),

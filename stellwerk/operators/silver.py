@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.functions.text import blank_to_null, lower_trim
-from stellwerk.operators.dedup import dedup_bronze
-from stellwerk.operators.skills import Skill, extract_skills, STANDARD_TAXONOMY
+from stellwerk.operators.dedup import LOCATOR, dedup_bronze, dedup_stored_bronze
+from stellwerk.operators.skills import STANDARD_TAXONOMY, Skill, extract_skills
 
 
 def _segment(segments: Column, position: int) -> Column:
@@ -72,4 +72,6 @@ def bronze_to_silver(
     tie_breakers: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Deduplicate each day, then project; skills are searched in surviving rows only."""
-    return project_silver(dedup_bronze(bronze, scope, tie_breakers), taxonomy)
+    stored = set(LOCATOR) <= set(bronze.columns)
+    unique = (dedup_stored_bronze if stored else dedup_bronze)(bronze, scope, tie_breakers)
+    return project_silver(unique, taxonomy)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.functions.moments import day_literal
+from stellwerk.operators.dedup import LOCATOR
 from stellwerk.schemas import BRONZE, BRONZE_PARTITIONS, QUARANTINE, SILVER
 
 GOLD_TABLES = ["fact_jobs", "fact_skills", "dim_company", "dim_location", "dim_date"]
@@ -80,6 +81,12 @@ def read_bronze(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(BRONZE).parquet(root)
 
 
+def located(df: DataFrame) -> DataFrame:
+    """Add file and row position to rows that come straight from Parquet files."""
+    file, row = LOCATOR
+    return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
+
 def read_bronze_days(
     spark: SparkSession,
     root: str,
@@ -88,11 +95,11 @@ def read_bronze_days(
     categories: Sequence[str] | None = None,
     days: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
-    """Bronze of the days ``first`` to ``last`` (both included) over all boards, with ``run_day``.
+    """Bronze of the days ``first`` to ``last`` (both included) over all boards, located, with ``run_day``.
 
     ``days`` names the wanted days inside that range one by one.
     """
-    rows = read_bronze(spark, root).where(
+    rows = located(read_bronze(spark, root)).where(
         partition_day().between(day_literal(first), day_literal(first if last is None else last))
     )
     if days is not None:
