@@ -62,7 +62,7 @@ def main() -> None:
         ),
     )
     silver = spark.read.parquet(f"{root}/silver")
-    timed("build_staging", lambda: dedup.staging(silver).write.parquet(f"{root}/staging"))
+    timed("build_staging", lambda: dedup.staging(lake.located(silver)).write.parquet(f"{root}/staging"))
     tables = build_gold(spark.read.parquet(f"{root}/staging"), fx.CALENDAR_END)
     timed("write_gold", lambda: lake.write_gold(tables, f"{root}/gold"))
     gold = lake.read_gold(spark, f"{root}/gold")

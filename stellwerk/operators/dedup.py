@@ -7,7 +7,7 @@ third of all rows reaches its reducer as one row per map task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +37,8 @@ def row_fingerprint(df: DataFrame, without: Sequence[str] = ()) -> Column:
 # Where a stored row lies: file and position in it.
 LOCATOR = ["_file", "_row"]
 
-# Long texts that no rule looks at.
-WIDE_COLUMNS = ["description"]
+# Long columns that no rule looks at.
+WIDE_COLUMNS = ["description", "skills"]
 
 
 def _default_ties(df: DataFrame, ties: Sequence[Column] | None) -> Sequence[Column]:
@@ -54,7 +54,7 @@ def _default_ties(df: DataFrame, ties: Sequence[Column] | None) -> Sequence[Colu
         F.asc_nulls_first("company"),
         row_fingerprint(df, [*WIDE_COLUMNS, *LOCATOR]),
     ]
-    if set(LOCATOR) <= set(df.columns):
+    if is_stored(df):
         return [*found, *[F.col(name) for name in LOCATOR]]
     return [*found, row_fingerprint(df)]
 
@@ -101,20 +101,28 @@ def dedup_bronze(df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequenc
     )
 
 
-def dedup_stored_bronze(
-    df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequence[Column] | None = None
-) -> DataFrame:
-    """The three bronze rules for rows read from files, which carry their ``LOCATOR``.
+def _fetched_by_position(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply a rule to the short columns of stored rows, then fetch the survivors by their position.
 
-    The rules run on the short columns alone; the surviving rows are then fetched by their position.
-    Descriptions make up most of the bytes: they are shuffled once at most instead of three times,
+    Descriptions make up most of the bytes: they are shuffled once at most instead of once per rule,
     and not at all when AQE finds the list of survivors small enough to broadcast.
     """
-    ranked = df.drop(*WIDE_COLUMNS)
-    kept = dedup_bronze(ranked, scope, tie_breakers).select(*LOCATOR)
+    kept = rule(df.drop(*WIDE_COLUMNS)).select(*LOCATOR)
     return df.join(kept, LOCATOR, "left_semi").drop(*LOCATOR)
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Do the rows carry their file position?"""
+    return set(LOCATOR) <= set(df.columns)
+
+
+def dedup_stored_bronze(
+    df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequence[Column] | None = None
+) -> DataFrame:
+    """The three bronze rules for rows that carry their file position."""
+    return _fetched_by_position(df, lambda short: dedup_bronze(short, scope, tie_breakers))
+
+
 def dedup_across_days(df: DataFrame, tie_breakers: Sequence[Column] | None = None) -> DataFrame:
     """Over all silver days: the latest observation of each job id."""
     return survivors(
@@ -137,4 +145,8 @@ def dedup_title_company(df: DataFrame, tie_breakers: Sequence[Column] | None = N
 
 def staging(silver: DataFrame, tie_breakers: Sequence[Column] | None = None) -> DataFrame:
     """Silver over all days, one row per posting: input of the star schema."""
-    return dedup_title_company(dedup_across_days(silver, tie_breakers), tie_breakers)
+
+    def both(df: DataFrame) -> DataFrame:
+        return dedup_title_company(dedup_across_days(df, tie_breakers), tie_breakers)
+
+    return _fetched_by_position(silver, both) if is_stored(silver) else both(silver)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.functions.text import blank_to_null, lower_trim
-from stellwerk.operators.dedup import LOCATOR, dedup_bronze, dedup_stored_bronze
+from stellwerk.operators.dedup import dedup_bronze, dedup_stored_bronze, is_stored
 from stellwerk.operators.skills import STANDARD_TAXONOMY, Skill, extract_skills
 
 
@@ -72,6 +72,5 @@ def bronze_to_silver(
     tie_breakers: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Deduplicate each day, then project; skills are searched in surviving rows only."""
-    stored = set(LOCATOR) <= set(bronze.columns)
-    unique = (dedup_stored_bronze if stored else dedup_bronze)(bronze, scope, tie_breakers)
+    unique = (dedup_stored_bronze if is_stored(bronze) else dedup_bronze)(bronze, scope, tie_breakers)
     return project_silver(unique, taxonomy)

@@ -82,13 +82,16 @@ def refresh_gold(spark: SparkSession, lake_root: str, calendar_end: dt.date | st
     """Rebuild the star schema from all silver days.
 
     Staging feeds four tables, so it is written once to the shared folder: a lost executor costs a
-    re-read, not the deduplication again.
+    re-read, not the deduplication again. The copy is dropped when the tables are written.
     """
     end = default_calendar_end(dt.date.today()) if calendar_end is None else calendar_end
-    silver = lake.read_silver(spark, f"{lake_root}/{SILVER}")
+    silver = lake.located(lake.read_silver(spark, f"{lake_root}/{SILVER}"))
     folder = f"{checkpoint_root(spark)}/staging-{uuid.uuid4().hex}"
-    staging(silver).write.option("compression", "zstd").parquet(folder)
-    lake.write_gold(build_gold(spark.read.parquet(folder), end), f"{lake_root}/{GOLD}")
+    try:
+        staging(silver).write.option("compression", "zstd").parquet(folder)
+        lake.write_gold(build_gold(spark.read.parquet(folder), end), f"{lake_root}/{GOLD}")
+    finally:
+        lake.drop_folder(spark, folder)
     return lake.read_gold(spark, f"{lake_root}/{GOLD}")
 
 

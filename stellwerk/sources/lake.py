@@ -157,3 +157,9 @@ def write_gold(tables: Mapping[str, DataFrame], root: str) -> None:
 
 def read_gold(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{root}/{name}") for name in GOLD_TABLES}
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove an intermediate table of our own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
