@@ -12,7 +12,8 @@ from stellwerk.operators.dedup import dedup_bronze, staging
 from stellwerk.operators.gold import build_gold
 from stellwerk.operators.silver import project_silver
 from stellwerk.operators.skills import Skill
-from stellwerk.session import configure, shared_folder
+from stellwerk.plans.jobs import BRONZE
+from stellwerk.session import checkpoint_root, configure, shared_folder
 from stellwerk.sources import lake
 from stellwerk.sources.unify import with_keys
 
@@ -199,6 +200,29 @@ def _tables_root(spark: SparkSession, sf_dir: str) -> str | None:
     return _written[key]
 
 
+def bronze_lake(spark: SparkSession, sf_dir: str) -> str:
+    """Root of a lake whose bronze layer holds all postings, written once per session."""
+    key = (spark.sparkContext.applicationId, "lake:" + _input_state(spark, sf_dir))
+    if key not in _written:
+        root = f"{checkpoint_root(spark)}/lake-{uuid.uuid4().hex}"
+        rows = bronze(spark, sf_dir)
+        stored = rows.select(
+            *rows.columns,
+            *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")],
+            F.lit(False).alias("salary_present"),
+        ).withColumns(
+            {
+                "fetched_at": F.col("fetched_at").cast("timestamp"),
+                "posted_at": F.col("posted_at").cast("timestamp"),
+                # Two search categories keep the number of directories small.
+                "search_category": F.when(F.col("search_category") < "M", F.lit("a/m")).otherwise(F.lit("n-z")),
+            }
+        )
+        lake.write_bronze(stored, f"{root}/{BRONZE}", "initial")
+        _written[key] = root
+    return _written[key]
+
+
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     root = _tables_root(spark, sf_dir)

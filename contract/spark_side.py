@@ -503,6 +503,11 @@ def saved_jobs(spark, sf_dir):
     return activity.saved_jobs(activity.apply_actions(fx.actions(spark, sf_dir))).select("username", "job_id", "saved_at")
 
 
+@register("applied_jobs")
+def applied_jobs(spark, sf_dir):
+    return activity.applied_jobs(activity.apply_actions(fx.actions(spark, sf_dir))).select("username", "job_id", "saved_at")
+
+
 @register("activity_counts")
 def activity_counts(spark, sf_dir):
     return activity.activity_counts(activity.apply_actions(fx.actions(spark, sf_dir)))
@@ -583,23 +588,18 @@ def _fresh_lake(spark) -> str:
     return f"{checkpoint_root(spark)}/lake-{uuid.uuid4().hex}"
 
 
+@register("bronze_day")
+def bronze_day(spark, sf_dir):
+    """One day and one search category out of stored bronze; only those directories are read."""
+    root = fx.bronze_lake(spark, sf_dir)
+    rows = lake.read_bronze_day(spark, f"{root}/{batch.BRONZE}", "1997-01-01", ["a/m"])
+    return rows.select("job_id", "source", "source_id", "title", naive("fetched_at"), "month", "day", "category", "run_day")
+
+
 @register("backfill")
 def backfill(spark, sf_dir):
-    """Bronze files for all days, then silver for four run days; survivors per day."""
-    root = _fresh_lake(spark)
-    rows = fx.bronze(spark, sf_dir)
-    stored = rows.select(
-        *rows.columns,
-        *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")],
-        F.lit(False).alias("salary_present"),
-    ).withColumns(
-        {
-            "fetched_at": F.col("fetched_at").cast("timestamp"),
-            "posted_at": F.col("posted_at").cast("timestamp"),
-            "search_category": F.lit("all"),
-        }
-    )
-    lake.write_bronze(stored, f"{root}/{batch.BRONZE}", "initial")
+    """Silver of four run days out of stored bronze; survivors per day."""
+    root = fx.bronze_lake(spark, sf_dir)
     batch.refresh_silver(spark, root, "1996-01-01", "1999-06-30", taxonomy=fx.PART_LEXICON)
     silver_days = lake.read_silver(spark, f"{root}/{batch.SILVER}")
     return silver_days.groupBy("run_day").agg(F.count("*").alias("postings"), F.count_distinct("dedup_key").alias("keys"))

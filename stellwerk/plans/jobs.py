@@ -19,7 +19,7 @@ from stellwerk.session import checkpoint_root
 from stellwerk.sources import lake
 from stellwerk.sources.adapters import ADAPTERS
 from stellwerk.sources.landing import read_landing
-from stellwerk.sources.unify import filter_categories, with_keys
+from stellwerk.sources.unify import filter_categories, parse_source_list, with_keys
 
 
 BRONZE, QUARANTINE = "bronze/postings", "bronze/quarantine"
@@ -53,9 +53,16 @@ def ingest(
     run: str | None = None,
     run_day: dt.date | str | None = None,
     categories: Sequence[str] | None = None,
+    enabled: str | None = None,
 ) -> DataFrame:
-    """Landing files to bronze and quarantine; returns the run report, one row per board."""
-    landing = {source: read_landing(spark, source, path) for source, path in landing_paths.items()}
+    """Landing files to bronze and quarantine; returns the run report, one row per board.
+
+    ``enabled`` is a comma list of boards to take; None takes all that have a path.
+    """
+    wanted = parse_source_list(enabled)
+    landing = {s: read_landing(spark, s, path) for s, path in landing_paths.items() if s in wanted}
+    if not landing:
+        raise ValueError("none of the enabled boards has a landing path")
     rows = adapt(landing, categories).persist()
     try:
         report = run_report(*store(rows, lake_root, run or uuid.uuid4().hex, run_day))

@@ -129,7 +129,7 @@ def test_ingest_splits_and_reports(spark, tmp_path):
     assert list((tmp_path / "lake/bronze/postings/source=adzuna/year=2025/month=06/day=02").glob("category=data_engineer/run=run1/*.zstd.parquet"))
     jobs.ingest(spark, run_landing(tmp_path), root, "run1", "2025-06-02")
     again = lake.read_bronze(spark, f"{root}/{jobs.BRONZE}").where("source = 'jooble'")
-    assert again.count() == 2 - 1 + 1  # the second landing file holds the same posting once more
+    assert again.count() == 2  # landing now holds the posting twice; the files of the first attempt are gone
 
 
 def test_bronze_day_prunes_partitions(spark, tmp_path):
@@ -139,6 +139,14 @@ def test_bronze_day_prunes_partitions(spark, tmp_path):
     assert "make_date" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
+def test_enabled_boards_only(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    report = jobs.ingest(spark, run_landing(tmp_path), root, "r", "2025-06-02", enabled=" Jooble ,unknown")
+    assert [r.source for r in report.collect()] == ["jooble"]
+    with pytest.raises(ValueError):
+        jobs.ingest(spark, run_landing(tmp_path), root, "r", "2025-06-02", enabled="muse")
+
+
 def test_empty_writes(spark, tmp_path):
     empty = spark.createDataFrame([], "source string, search_category string, fetched_at timestamp")
     with pytest.raises(ValueError):
