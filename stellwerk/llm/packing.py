@@ -3,10 +3,11 @@
 Texts are tokenized on the executors; a document is its ids and an end id. Only documents longer than a
 sequence are cut, into full pieces after a first piece that may be shorter. Full pieces are sequences of
 their own. The others are packed in groups of bounded size, drawn by a hash of the document: an item goes
-where the sum over all gaps of the squared number of open sequences with that gap becomes smallest (into
-an open sequence with a gap it fits, or a new one); groups take their items in falling length, which
-leaves fewer open sequences than any other order tried. Sequences that a group leaves with a gap are
-packed again as whole blocks, over ever fewer groups, so that only one group in all has a remainder.
+where the sum over all gaps of the squared number of open sequences with that gap becomes smallest. A new
+sequence is opened only where no open one has room, and groups take their items in falling length: on the
+given documents that needs 0.7 % more sequences than the sum of lengths, the rule with free choice of new
+sequences 4 %. Sequences that a group leaves with a gap are packed again as whole blocks, over ever fewer
+groups, so that only one group in all has a remainder.
 
 Null text counts as empty (the end id alone). Rows that share a doc_id are packed each on its own, equal
 rows too.
@@ -36,7 +37,7 @@ GROUP = 25_000
 REMEMBERED = 500_000
 
 # White space beyond ASCII: a word may not be cut off after it.
-_OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _PIECES = "doc_id bigint, row_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -58,16 +59,12 @@ class WordTokenizer:
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         data, offsets = columnar.utf8(texts)
-        starts, _, rows = columnar.words(data, offsets)
-        ends = np.append(starts[1:], len(data))  # here: where the next word starts
+        _, word_ends, rows = columnar.words(data, offsets)
         # A piece is the white space before a word, and the word; the last one takes white space at the end.
-        _, word_ends, _ = columnar.words(data, offsets)
         first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.empty(0, bool)
         last = np.append(first[1:], True) if len(rows) else first
         begin = np.where(first, offsets[rows], np.append(0, word_ends[:-1])[: len(rows)])
         end = np.where(last, offsets[rows + 1], word_ends)
-        # White space at the end of a text is a piece by itself, as no word follows it.
-        del ends
         hashes = columnar.span_hashes(data, begin, end)
         distinct, sample, where = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self._known) > REMEMBERED:
@@ -126,31 +123,27 @@ def _pieces(ranks_path: str, pattern: str):
 def sum_of_squares(sizes: np.ndarray, capacity: int = LENGTH) -> np.ndarray:
     """The bin of each item, in the order given.
 
-    With N(g) bins of gap g, an item of size s that goes into a bin of gap g changes the sum of squares by
-    2 * (N(g - s) - N(g) + 1), a new bin by 2 * N(capacity - s) + 1; bins without a gap do not count. A
-    tie goes to the smallest gap.
+    With N(g) open bins of gap g, an item of size s that goes into a bin of gap g changes the sum of squares
+    by 2 * (N(g - s) - N(g) + 1); bins without a gap do not count. A tie goes to the smallest gap. A bin is
+    opened only if no open one has room.
     """
-    count = np.zeros(capacity + 1, np.int64)  # open bins by gap; gap 0 stays 0
+    count = np.zeros(capacity + 1, np.int64)  # open bins by gap
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, made = np.empty(len(sizes), np.int64), 0
     for i, s in enumerate(sizes.tolist()):
-        open_gaps = np.flatnonzero(count[s:capacity]) + s
-        best, gain = None, 2 * count[capacity - s] + 1 if s < capacity else 0
-        if len(open_gaps):
-            change = 2 * (count[open_gaps - s] - count[open_gaps] + 1)
-            change[open_gaps == s] = 1 - 2 * count[s]
-            k = int(change.argmin())
-            if change[k] <= gain:
-                best = int(open_gaps[k])
-        if best is None:
-            target, best, made = made, capacity, made + 1
+        gaps = np.flatnonzero(count[s:capacity]) + s
+        if len(gaps):
+            change = 2 * (count[gaps - s] - count[gaps] + 1)
+            change[gaps == s] = 1 - 2 * count[s]
+            gap = int(gaps[change.argmin()])
+            target = stacks[gap].pop()
+            count[gap] -= 1
         else:
-            target = stacks[best].pop()
-            count[best] -= 1
+            gap, target, made = capacity, made, made + 1
         bins[i] = target
-        if best > s:
-            stacks[best - s].append(target)
-            count[best - s] += 1
+        if gap > s:
+            stacks[gap - s].append(target)
+            count[gap - s] += 1
     return bins
 
 

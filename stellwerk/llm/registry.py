@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stellwerk.llm.columnar import table
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import pack
+from stellwerk.llm.quality_rules import judge
+from stellwerk.llm import sql
 
 
 def vocabulary(name: str) -> str:
@@ -32,9 +34,15 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judge(table(spark, sf_dir, "documents")).select("row.doc_id", *[f"quality.{n}" for n in names])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_quality_rules": sql.QUALITY}
