@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stellwerk.llm import sql
 from stellwerk.llm.columnar import table
+from stellwerk.llm.language_id import fit, held_out, identify
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import pack
 from stellwerk.llm.quality_rules import judge
-from stellwerk.llm import sql
+from stellwerk.llm.substring_dedup import remove_repeated_passages
 
 
 def vocabulary(name: str) -> str:
@@ -26,10 +29,22 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return cleaned.select("row.doc_id", "row.text", "n_removed")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), word_pattern())
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Of the documents only id and text reach the prediction.
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -40,7 +55,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
