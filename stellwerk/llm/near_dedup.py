@@ -10,10 +10,11 @@
 4. Pairs left are confirmed on the full shingle sets and linked; components get their smallest id.
 
 Postings never become all pairs of a list. First every document meets one leader per list (another one in
-each list), and the best of these pairs is confirmed; most lists then lie within one component and are
-done. The other leader pairs follow where they would join two components. What is left are lists with
-several components: these count collisions block by block inside the tasks, and only pairs that reach
-``MATCHES`` across components leave them. Nothing is capped.
+each list), and the three best of these pairs are confirmed; most lists then lie within one component and
+are done. Lists with several components are joined in blocks inside the tasks: pairs of different
+components that reach ``MATCHES``, and that have not met in an earlier list, are confirmed on the full sets
+there, and a task emits an edge only if it joins two components, so fewer edges than it has documents.
+Nothing is capped.
 
 Null text and texts without words have an empty set and are linked with nothing. Rows that share a doc_id
 (null counts as one id) are one node of the graph; each keeps its own row in the result.
@@ -37,6 +38,8 @@ GROUP = 3
 MATCHES = 36
 # Documents of a posting list that one task compares at a time.
 BLOCK = 1024
+# Leaders of a document that are confirmed first.
+TRIED = 3
 # Stands for a null doc_id inside the operator.
 NO_ID = -(1 << 63)
 
@@ -107,9 +110,15 @@ def _profiles(width: int):
 def _set_rows(width: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
+            coordinates = [signature(values) for values in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary())],
-                names=["doc_id", "shingles"],
+                [
+                    batch.column("doc_id").cast(pa.int64()),
+                    pa.array([values.tobytes() for values in sets], pa.binary()),
+                    pa.array([(c & 0xFF).astype(np.uint8).tobytes() for c in coordinates], pa.binary()),
+                    pa.array([postings(c) for c in coordinates], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "shingles", "signature", "postings"],
             )
 
     return rows
@@ -137,9 +146,8 @@ def _similar(percent: int):
 def _collisions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Count equal coordinates of each pair; drop the pairs below MATCHES."""
     for batch in batches:
-        left, right = (_matrix(batch.column(c)) for c in ("left", "right"))
-        matches = (left == right).sum(axis=1)
-        found = batch.select(["a", "b"]).append_column("matches", pa.array(matches, pa.int64()))
+        matches = (_matrix(batch.column("left")) == _matrix(batch.column("right"))).sum(axis=1)
+        found = batch.select(["member", "leader"]).append_column("matches", pa.array(matches, pa.int64()))
         yield found.filter(pa.array(matches >= MATCHES))
 
 
@@ -147,23 +155,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def _across_components(group: pa.Table) -> pa.Table:
-    """Pairs of two blocks of one list, or within one, that lie in different components and reach MATCHES."""
-    ids = group.column("doc_id").to_numpy()
-    home = group.column("component").to_numpy()
-    block = group.column("block").to_numpy()
-    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-    signatures = _matrix(group.column("signature").combine_chunks())
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    pairs = []
-    for i in left:
-        others = right[right > i] if low == high else right
-        others = others[home[others] != home[i]]
-        if len(others):
-            near = others[(signatures[others] == signatures[i]).sum(axis=1) >= MATCHES]
-            pairs.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
-    pairs = np.sort(np.concatenate(pairs), axis=1) if pairs else np.empty((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _across_components(percent: int):
+    def join_blocks(group: pa.Table) -> pa.Table:
+        """Edges between components, from two blocks of one list or from one block."""
+        ids, block = (group.column(c).to_numpy() for c in ("doc_id", "block"))
+        low, high, key = (group.column(c)[0].as_py() for c in ("low", "high", "key"))
+        signatures = _matrix(group.column("signature").combine_chunks())
+        posted = np.array(group.column("postings").to_pylist(), np.int64)
+        band = int(np.flatnonzero(posted[0] == key)[0])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        universe, place = np.unique(np.concatenate(sets), return_inverse=True)
+        stops = np.cumsum(sizes)
+        present = np.zeros(len(universe), np.int32)
+        homes, home = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        edges = []
+        right = np.flatnonzero(block == high)
+        for i in np.flatnonzero(block == low):
+            others = right[right > i] if low == high else right
+            others = others[home[others] != home[i]]
+            others = others[(signatures[others] == signatures[i]).sum(axis=1) >= MATCHES]
+            others = others[~(posted[others, :band] == posted[i, :band]).any(axis=1)]
+            if not len(others):
+                continue
+            own = place[stops[i] - sizes[i] : stops[i]]
+            present[own] = 1
+            common = np.add.reduceat(present[place], stops - sizes)[others]
+            present[own] = 0
+            for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)]:
+                if home[j] != home[i]:
+                    edges.append(sorted((ids[i], ids[j])))
+                    home[home == home[j]] = home[i]
+        edges = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    return join_blocks
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -190,42 +216,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     entries = stored(posted.join(lists, "key"), "entries")
     signatures = nodes.select("doc_id", "signature")
 
-    def with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-        return pairs.join(side.select(F.col("doc_id").alias("a"), F.col(value).alias("left")), "a").join(
-            side.select(F.col("doc_id").alias("b"), F.col(value).alias("right")), "b"
-        )
-
-    met = entries.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-    met = met.distinct()
-    counted = with_both(met, signatures, "signature").mapInArrow(_collisions, "a bigint, b bigint, matches bigint")
-    near = stored(counted, "near")
+    def with_both(pairs: DataFrame, names: tuple[str, str], side: DataFrame, value: str) -> DataFrame:
+        for name, out in zip(names, ("left", "right")):
+            pairs = pairs.join(side.select(F.col("doc_id").alias(name), F.col(value).alias(out)), name)
+        return pairs
+
+    met = entries.where("doc_id <> leader").select(F.col("doc_id").alias("member"), "leader").distinct()
+    counted = with_both(met, ("member", "leader"), signatures, "signature")
+    near = counted.mapInArrow(_collisions, "member bigint, leader bigint, matches bigint")
+    # A document has one leader per list, 21 at most.
+    ranked = near.groupBy("member").agg(F.sort_array(F.collect_list(F.struct((-F.col("matches")).alias("m"), "leader"))).alias("ranked"))
+    best = ranked.select("member", F.explode(F.slice("ranked", 1, TRIED)).alias("best")).select(
+        F.least("member", "best.leader").alias("a"), F.greatest("member", "best.leader").alias("b")
+    )
 
     # Shingle sets of the documents in any list, written once.
     wanted = entries.select("doc_id").distinct()
-    sets = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc_id bigint, shingles binary"), "sets")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        both = with_both(pairs.select("a", "b"), sets, "shingles")
-        return stored(both.mapInArrow(_similar(percent), "a bigint, b bigint").distinct(), name)
-
-    best = near.groupBy(F.col("b").alias("of")).agg(F.max("matches").alias("top"))
-    first_of = near.join(best, (F.col("b") == F.col("of")) & (F.col("matches") == F.col("top"))).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = confirmed(first_of, "links")
-    homes = connected_components(links)
-
-    def apart(pairs: DataFrame, homes: DataFrame) -> DataFrame:
-        home_a = homes.select(F.col("node").alias("a"), F.col("component").alias("home_a"))
-        home_b = homes.select(F.col("node").alias("b"), F.col("component").alias("home_b"))
-        joined = pairs.join(home_a, "a", "left").join(home_b, "b", "left")
-        return joined.where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b")
-
-    rest = apart(near.select("a", "b").join(first_of, ["a", "b"], "left_anti"), homes)
-    links = links.unionByName(confirmed(rest, "links"))
-    homes = connected_components(links)
-
-    placed = entries.join(homes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    # A list of two has been settled by its leader pair.
-    spread = placed.where("n > 2").groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+    sets = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(
+        _set_rows(width), "doc_id bigint, shingles binary, signature binary, postings array<bigint>"
+    )
+    sets = stored(sets, "sets")
+    both = with_both(best.distinct(), ("a", "b"), sets, "shingles")
+    homes = connected_components(both.mapInArrow(_similar(percent), "a bigint, b bigint"))
+
+    placed = entries.join(homes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    )
+    spread = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
     open_lists = spread.where("c1 <> c2").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mixed = (
@@ -233,12 +250,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component")
-        .join(signatures, "doc_id")
+        .join(sets, "doc_id")
+    )
+    across = mixed.groupBy("key", "low", "high").applyInArrow(_across_components(percent), "a bigint, b bigint")
+    # The second graph has components as nodes.
+    node, component = F.col("node"), F.col("component")
+    lifted = stored(across.distinct(), "across")
+    for name in ("a", "b"):
+        home = homes.select(node.alias(name), component.alias("home"))
+        lifted = lifted.join(home, name, "left").withColumn(name, F.coalesce("home", name)).drop("home")
+    joined = connected_components(lifted)
+    homes = stored(
+        homes.join(joined.select(node.alias("component"), component.alias("top")), "component", "left")
+        .select("node", F.coalesce("top", "component").alias("component"))
+        .unionByName(joined.join(homes.select("node"), "node", "left_anti")),
+        "homes",
     )
-    across = mixed.groupBy("key", "low", "high").applyInArrow(_across_components, "a bigint, b bigint").distinct()
-    across = across.join(near, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(across, "links"))
-    homes = connected_components(links)
 
     result = members.join(homes.select(F.col("node").alias("member_of"), "component"), "member_of", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "member_of").alias("component_id")

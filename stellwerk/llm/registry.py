@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.llm import sql
-from stellwerk.llm.columnar import table
+from stellwerk.llm.columnar import new_folder, table
+from stellwerk.llm.fingerprints import fingerprints
+from stellwerk.llm.html_extraction import extract_text
 from stellwerk.llm.language_id import fit, held_out, identify
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import pack
 from stellwerk.llm.quality_rules import judge
 from stellwerk.llm.substring_dedup import remove_repeated_passages
+from stellwerk.llm.warc import page_of, page_records, use_warc
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +37,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "row.text", "n_removed")
 
 
+def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), word_pattern())
 
@@ -45,6 +52,36 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the pages to archives, then read responses with their payload and revisits by their headers."""
+    use_warc(spark)
+    path = new_folder(spark, "warc")
+    page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    responses = spark.read.format("warc").load(path).where("type = 'response'")
+    headers = "record_id string, type string, refers_to string, payload_digest string, payload_length bigint"
+    revisits = spark.read.format("warc").schema(headers).load(path).where("type = 'revisit'")
+    none = F.lit(None).cast("bigint")
+    return responses.select(
+        page_of("record_id").alias("page_id"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        none.alias("refers_to"),
+    ).unionByName(
+        revisits.select(
+            page_of("record_id").alias("page_id"),
+            F.col("payload_length").alias("payload_bytes"),
+            F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+            F.col("type").alias("record_type"),
+            page_of("refers_to").alias("refers_to"),
+        )
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -56,8 +93,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_closed_syncmers": op3_closed_syncmers,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_warc": op8_warc,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
