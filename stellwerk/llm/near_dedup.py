@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellwerk.llm import columnar
@@ -277,3 +277,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.when(F.col("component_id") != NO_ID, F.col("component_id")).otherwise(null_id).alias("component_id"),
         (F.col("doc_id") == F.col("component_id")).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component; of rows that share a doc_id the one
+    with the smallest hash of its text."""
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone")), "left_anti")
+    order = Window.partitionBy(F.col("doc_id")).orderBy(F.xxhash64("text"), "text")
+    place = "place in doc_id"
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(f"`{place}`") == 1).drop(place)

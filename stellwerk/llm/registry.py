@@ -16,6 +16,8 @@ from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import pack
 from stellwerk.llm.quality_rules import judge
 from stellwerk.llm.substring_dedup import remove_repeated_passages
+from stellwerk.llm.toxicity import toxicity
+from stellwerk.llm.toxicity import fit as fit_toxicity
 from stellwerk.llm.warc import page_of, page_records, use_warc
 
 
@@ -32,6 +34,18 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline.py``, which builds on this module."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeated_passages(table(spark, sf_dir, "documents"))
     return cleaned.select("row.doc_id", "row.text", "n_removed")
@@ -92,6 +106,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_closed_syncmers": op3_closed_syncmers,
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -100,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_quality_rules": sql.QUALITY}
