@@ -129,7 +129,10 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     lost = F.col("word_chars") - F.col("kept_chars") > F.col("word_chars") * MOST_REMOVED
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_chars", "clean_text"]
-    return step.select("row", F.struct(*names, failed.alias("base_failed"), (~failed & ~lost).alias("kept")).alias("quality"))
+    judged = F.struct(*names, failed.alias("base_failed"), (~failed & ~lost).alias("kept"))
+    # As the output of a generator the verdict is computed once: a filter on it would otherwise be pushed below
+    # all steps, with their expressions repeated in it.
+    return step.select("row", F.explode(F.array(judged)).alias("quality"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
