@@ -14,6 +14,7 @@ from stellwerk.llm.html_extraction import extract_text
 from stellwerk.llm.language_id import fit, held_out, identify
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import pack
+from stellwerk.llm.piece_codec import decode, digests, encode
 from stellwerk.llm.quality_rules import judge
 from stellwerk.llm.substring_dedup import remove_repeated_passages
 from stellwerk.llm.toxicity import toxicity
@@ -59,6 +60,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), word_pattern())
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    return digests(decode(encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # Of the documents only id and text reach the prediction.
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_closed_syncmers": op3_closed_syncmers,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_piece_codec": op5_piece_codec,
     "op6_language_id": op6_language_id,
     "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
