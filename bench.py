@@ -68,7 +68,7 @@ def main() -> None:
     gold = lake.read_gold(spark, f"{root}/gold")
 
     names = [s.canonical for s in fx.PART_LEXICON]
-    documents = fx.spread(fx.table(spark, sf_dir, "documents"), "doc_id")
+    documents = fx.table(spark, sf_dir, "documents").hint("rebalance")
     fx.visit_lines(spark, sf_dir).hint("rebalance").write.text(f"{root}/visits")
     log = parse_visit_lines(spark.read.text(f"{root}/visits"))
     landing(spark, sf_dir, "adzuna").hint("rebalance").write.parquet(f"{root}/landing")

@@ -13,7 +13,7 @@ from stellwerk.operators.gold import build_gold
 from stellwerk.operators.silver import project_silver
 from stellwerk.operators.skills import Skill
 from stellwerk.plans.jobs import BRONZE
-from stellwerk.session import checkpoint_root, configure, shared_folder
+from stellwerk.session import checkpoint_root, configure
 from stellwerk.sources import lake
 from stellwerk.sources.unify import with_keys
 
@@ -49,20 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread the rows of a table that is one small file, and hence one task, over all cores."""
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(key)
-    return df
-
-
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as job postings: order priority is the board, part the title, supplier the company."""
     lines, orders, part, supplier, nation, region = (
         table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "nation", "region")
     )
     joined = (
-        spread(lines, "l_orderkey").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+        lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(part, F.col("p_partkey") == F.col("l_partkey"))
         .join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
@@ -182,18 +175,15 @@ def _input_state(spark: SparkSession, sf_dir: str) -> str:
 _written: dict[tuple[str, str], str] = {}
 
 
-def _tables_root(spark: SparkSession, sf_dir: str) -> str | None:
+def _tables_root(spark: SparkSession, sf_dir: str) -> str:
     """Write staging and the star schema of these inputs once per session, as the gold job does.
 
     Every query on gold then reads stored tables with column pruning and filter pushdown instead of
     repeating the deduplication. Changed input files lead to new tables.
     """
-    folder = shared_folder(spark)
-    if folder is None:
-        return None
     key = (spark.sparkContext.applicationId, _input_state(spark, sf_dir))
     if key not in _written:
-        root = f"{folder}/tables-{uuid.uuid4().hex}"
+        root = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
         lazy_staged(spark, sf_dir).write.parquet(f"{root}/staging")
         lake.write_gold(build_gold(spark.read.parquet(f"{root}/staging"), CALENDAR_END), f"{root}/gold")
         _written[key] = root
@@ -225,16 +215,12 @@ def bronze_lake(spark: SparkSession, sf_dir: str) -> str:
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    root = _tables_root(spark, sf_dir)
-    return lazy_staged(spark, sf_dir) if root is None else spark.read.parquet(f"{root}/staging")
+    return spark.read.parquet(f"{_tables_root(spark, sf_dir)}/staging")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     configure(spark)
-    root = _tables_root(spark, sf_dir)
-    if root is None:
-        return build_gold(lazy_staged(spark, sf_dir), CALENDAR_END)
-    return lake.read_gold(spark, f"{root}/gold")
+    return lake.read_gold(spark, f"{_tables_root(spark, sf_dir)}/gold")
 
 
 # ---- visit log ---------------------------------------------------------------------------------

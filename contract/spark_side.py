@@ -333,7 +333,7 @@ KEYSET = "1999-06-01T00:00:00|8"
 
 @register("search_keyset")
 def search_keyset(spark, sf_dir):
-    return _page(search(fx.gold(spark, sf_dir), JobsFilter(after=KEYSET, limit=500)))
+    return _page(search(fx.gold(spark, sf_dir), JobsFilter(after=KEYSET, limit=200)))
 
 
 @register("unseen_only")
@@ -408,7 +408,22 @@ for _group in metrics.DISTRIBUTION_GROUPS:
 
 @register("salary_distribution_approx")
 def salary_distribution_approx(spark, sf_dir):
-    return _distribution(metrics.salary_distribution(fx.gold(spark, sf_dir), "source"))
+    """Whether each approximate quartile lies within the promised rank error, by exact counts of smaller values."""
+    accuracy, gold = 10_000, fx.gold(spark, sf_dir)
+    names = ("salary_p25", "salary_median", "salary_p75")
+    found = metrics.salary_distribution(gold, "source", accuracy).select("grp", "n", *names)
+    # One row per board and quartile, so the join does not grow with a board's share.
+    jobs = gold["fact_jobs"].where("salary_mid IS NOT NULL").select(F.col("source").alias("grp"), "salary_mid")
+    counts = [
+        F.sum((F.col("salary_mid") < F.col(c)).cast("bigint")).alias(f"below_{c}") for c in names
+    ] + [F.sum((F.col("salary_mid") <= F.col(c)).cast("bigint")).alias(f"upto_{c}") for c in names]
+    ranked = jobs.join(F.broadcast(found), "grp").groupBy("grp", "n").agg(*counts)
+    error = F.col("n") / accuracy + 1
+    within = [
+        ((F.col(f"below_{c}") <= q * F.col("n") + error) & (F.col(f"upto_{c}") >= q * F.col("n") - error)).alias(c)
+        for c, q in zip(names, metrics.QUARTILES)
+    ]
+    return ranked.select("grp", "n", *within)
 
 
 @register("salary_quantiles_lineitem")

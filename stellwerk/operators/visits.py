@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from functools import reduce
 from operator import or_
 
@@ -25,8 +26,8 @@ DEVICE_RULES = [
 ]
 DEVICE_OTHER, DEVICE_UNKNOWN, DIRECT = "Sonstige", "Unbekannt", "Direkt"
 
-TOP_N = {"status": 20}
 DEFAULT_TOP_N = 10
+TOP_N = {"status": 20}
 
 
 def visit_day(time: Column) -> Column:
@@ -91,10 +92,10 @@ def visits_per_day(visits: DataFrame, as_of: dt.date | str, days: int = 30) -> D
     return calendar.join(counts, "day", "left").fillna(0, ["n"]).orderBy("day")
 
 
-def visits_top(visits: DataFrame, n: int = DEFAULT_TOP_N) -> DataFrame:
+def visits_top(visits: DataFrame, n: int = DEFAULT_TOP_N, per_dimension: Mapping[str, int] = TOP_N) -> DataFrame:
     """Most frequent countries, cities, providers, paths, referrers, status codes and devices.
 
-    All seven rankings come from one scan and one shuffle of counts.
+    ``per_dimension`` sets another length than ``n`` for some. All seven rankings come from one scan and one shuffle of counts.
     """
     geo = F.col("geo")
     dimensions = {
@@ -108,12 +109,14 @@ def visits_top(visits: DataFrame, n: int = DEFAULT_TOP_N) -> DataFrame:
     }
     unpivoted = F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("name")) for d, v in dimensions.items()])
     counts = visits.select(F.inline(unpivoted)).groupBy("dimension", "name").agg(F.count("*").alias("n"))
-    limits = F.when(F.col("dimension") == "status", F.lit(max(n, TOP_N["status"]))).otherwise(F.lit(n))
+    limits = F.lit(n)
+    for dimension, own in per_dimension.items():
+        limits = F.when(F.col("dimension") == dimension, F.lit(own)).otherwise(limits)
     ranking = Window.partitionBy("dimension").orderBy(F.desc("n"), F.asc("name"))
     # The constant bound lets Spark cut each map task's rows before the shuffle.
     return (
         counts.withColumn("rank", F.row_number().over(ranking))
-        .where(F.col("rank") <= max(n, TOP_N["status"]))
+        .where(F.col("rank") <= max([n, *per_dimension.values()]))
         .where(F.col("rank") <= limits)
     )
 

@@ -45,26 +45,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 _own_folders: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def checkpoint_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets
-    a folder of its own, because there all tasks see the same disk.
+    ``spark.checkpoint.dir`` names it. Only a session on one machine may leave it unset and gets a folder of
+    its own, because there all tasks see the same disk.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not context.master.startswith("local"):
-        return None
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     if context.applicationId not in _own_folders:
         _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="stellwerk-")
     return _own_folders[context.applicationId]
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder, for jobs that cannot do without."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return folder

@@ -113,7 +113,8 @@ def adapt_adzuna(landing: DataFrame) -> DataFrame:
             "posted_at": parse_mislabelled_berlin(_r("created")),
             "url": _r("redirect_url"),
         },
-        keep=_given(_r("id")),
+        # 0 is an id, '' one that validation rejects.
+        keep=_r("id").isNotNull(),
     )
 
 
