@@ -7,7 +7,7 @@ where the sum over all gaps of the squared number of open sequences with that ga
 sequence is opened only where no open one has room, and groups take their items in falling length: on the
 given documents that needs 0.7 % more sequences than the sum of lengths, the rule with free choice of new
 sequences 4 %. Sequences that a group leaves with a gap are packed again as whole blocks, over ever fewer
-groups, so that only one group in all has a remainder.
+groups, as long as that joins a quarter of them or more.
 
 Null text counts as empty (the end id alone). Rows that share a doc_id are packed each on its own, equal
 rows too.
@@ -33,6 +33,8 @@ END_ID = 2
 LENGTH = 1024
 # Items one task packs at a time.
 GROUP = 25_000
+# Another turn only if the one before left at most this share of its blocks.
+WORTH_IT = 0.75
 # Word ids a worker remembers before it starts anew.
 REMEMBERED = 500_000
 
@@ -166,22 +168,24 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     placed = pieces.where((F.col("piece") == 0) & (F.col("length") < LENGTH)).select(
         F.col("row_id"), F.col("row_id").alias("block"), F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("size")
     )
-    n, done = placed.count(), None
+    n, turn, done = placed.count(), 0, None
     while n:
-        groups = -(-n // GROUP)
-        blocks = placed.where("row_id = block").select("block", "size", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"))
+        groups, turn, before = -(-n // GROUP), turn + 1, n
+        blocks = placed.where("row_id = block").select("block", "size", F.pmod(F.xxhash64("block", F.lit(turn)), F.lit(groups)).alias("group"))
         moved = stored(blocks.groupBy("group").applyInPandas(_pack, "block bigint, into bigint, shift bigint, total bigint"), "moved")
         placed = stored(
             placed.drop("size").join(moved, "block").select("row_id", F.col("into").alias("block"), (F.col("offset") + F.col("shift")).alias("offset"), F.col("total").alias("size")),
             "placed",
         )
-        full = placed.where(F.col("size") == LENGTH) if groups > 1 else placed
+        gaps = placed.where(F.col("size") < LENGTH)
+        n = gaps.where("row_id = block").count() if groups > 1 else 0
+        # Sequences that hardly fit together any more stay as they are.
+        last = n > before * WORTH_IT or not n
+        full = placed if last else placed.where(F.col("size") == LENGTH)
         done = full if done is None else done.unionByName(full)
-        if groups == 1:
+        if last:
             break
-        placed = placed.where(F.col("size") < LENGTH)
-        n = placed.where("row_id = block").count()
-    out = pieces.alias("p")
+        placed = gaps
     if done is not None:
         out = pieces.join(done.select("row_id", F.lit(0).alias("piece"), "block", "offset"), ["row_id", "piece"], "left")
     else:
