@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,18 @@ def adapt(landing: Mapping[str, DataFrame], categories: Sequence[str] | None = N
     return with_keys(null_negative_salary(checked(reduce(DataFrame.unionByName, postings))))
 
 
+@contextmanager
+def written_once(rows: DataFrame, name: str) -> Iterator[DataFrame]:
+    """Rows that several tables are derived from, as files in the shared folder while they are needed."""
+    spark = rows.sparkSession
+    folder = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        rows.write.option("compression", "zstd").parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        lake.drop_folder(spark, folder)
+
+
 def store(
     rows: DataFrame, lake_root: str, run: str, run_day: dt.date | str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +76,9 @@ def ingest(
     landing = {s: read_landing(spark, s, path) for s, path in landing_paths.items() if s in wanted}
     if not landing:
         raise ValueError("none of the enabled boards has a landing path")
-    rows = adapt(landing, categories).persist()
-    try:
+    with written_once(adapt(landing, categories), "ingest") as rows:
         report = run_report(*store(rows, lake_root, run or uuid.uuid4().hex, run_day))
         return spark.createDataFrame(report.collect(), report.schema)
-    finally:
-        rows.unpersist()
 
 
 def refresh_silver(
@@ -93,12 +103,8 @@ def refresh_gold(spark: SparkSession, lake_root: str, calendar_end: dt.date | st
     """
     end = default_calendar_end(dt.date.today()) if calendar_end is None else calendar_end
     silver = lake.located(lake.read_silver(spark, f"{lake_root}/{SILVER}"))
-    folder = f"{checkpoint_root(spark)}/staging-{uuid.uuid4().hex}"
-    try:
-        staging(silver).write.option("compression", "zstd").parquet(folder)
-        lake.write_gold(build_gold(spark.read.parquet(folder), end), f"{lake_root}/{GOLD}")
-    finally:
-        lake.drop_folder(spark, folder)
+    with written_once(staging(silver), "staging") as staged:
+        lake.write_gold(build_gold(staged, end), f"{lake_root}/{GOLD}")
     return lake.read_gold(spark, f"{lake_root}/{GOLD}")
 
 

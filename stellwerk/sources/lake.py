@@ -81,6 +81,17 @@ def read_bronze(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(BRONZE).parquet(root)
 
 
+def _day_folders(spark: SparkSession, root: str, days: Sequence[dt.date]) -> list[str]:
+    """The boards' folders of the given days; only these are listed, however old the lake is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for day in days:
+        pattern = f"{root}/source=*/year={day:%Y}/month={day:%m}/day={day:%d}"
+        found += [str(f.getPath()) for f in system.globStatus(path(pattern)) or []]
+    return found
+
+
 def located(df: DataFrame) -> DataFrame:
     """Add file and row position to rows that come straight from Parquet files."""
     file, row = LOCATOR
@@ -99,11 +110,16 @@ def read_bronze_days(
 
     ``days`` names the wanted days inside that range one by one.
     """
-    rows = located(read_bronze(spark, root)).where(
-        partition_day().between(day_literal(first), day_literal(first if last is None else last))
-    )
+    low, high = (d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in (first, first if last is None else last))
+    wanted = [low + dt.timedelta(n) for n in range((high - low).days + 1)]
     if days is not None:
-        rows = rows.where(partition_day().isin([day_literal(d) for d in days]))
+        chosen = {d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in days}
+        wanted = [d for d in wanted if d in chosen]
+    folders = _day_folders(spark, root, wanted)
+    if folders:
+        rows = located(spark.read.schema(BRONZE).option("basePath", root).parquet(*folders))
+    else:
+        rows = spark.createDataFrame([], located(read_bronze(spark, root)).schema)
     if categories:
         rows = rows.where(F.col("search_category").isin(list(categories)))
     return rows.withColumn("run_day", partition_day())
