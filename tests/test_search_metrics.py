@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contract import fixtures as fx
 from stellwerk.operators import metrics
-from stellwerk.operators.search import JobsFilter, next_keyset, parse_keyset, search, unseen_only
+from stellwerk.operators.search import MAX_PAGE, JobsFilter, next_keyset, parse_keyset, search, unseen_only
 
 
 @pytest.fixture(scope="module")
@@ -36,9 +36,12 @@ def test_undated_postings_come_last_and_end_paging(gold):
     assert search(undated, JobsFilter(after="2000-01-01|f")).isEmpty()
 
 
-def test_limit_is_clamped_and_keyset_checked(gold):
-    assert search(gold, JobsFilter(limit=0)).count() == 1
-    assert search(gold, JobsFilter(limit=1000)).count() == 200
+def test_limit_and_keyset_are_checked(gold):
+    # The search interface refuses a page size it would have to change.
+    for limit in (0, MAX_PAGE + 1):
+        with pytest.raises(ValueError):
+            search(gold, JobsFilter(limit=limit))
+    assert search(gold, JobsFilter(limit=MAX_PAGE)).count() == MAX_PAGE
     assert parse_keyset("2025-01-01T00:00:00 02:00|a|b") == ("2025-01-01T00:00:00+02:00", "a|b")
     with pytest.raises(ValueError):
         parse_keyset("2025-01-01")
