@@ -84,6 +84,19 @@ def test_stored_rows_give_the_same_survivors_and_shuffle_no_descriptions(spark,
     assert windows and not any("description" in line for line in windows)
 
 
+def test_wide_rows_are_never_sorted(spark, tmp_path):
+    df = bronze(spark, ("muse", "1", "A", "X", 0), ("muse", "2", "B", "X", 0)).withColumn("description", F.lit("text"))
+    df.write.parquet(str(tmp_path / "b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = dedup.dedup_stored_bronze(lake.located(spark.read.parquet(str(tmp_path / "b"))))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_scope_keeps_days_apart(spark):
     df = bronze(spark, ("muse", "1", "A", "X", 0), ("muse", "1", "A", "X", 60 * 24)).withColumn(
         "run_day", F.to_date("fetched_at")
