@@ -9,7 +9,7 @@ Labels only say toxic or not. Grade 0 is not toxic; toxic texts are graded 1 to
 their words that mark toxic texts in the training sample (found in five toxic texts at least, and in those
 nine times in ten).
 
-``fit`` bounds: about ``per_class`` (2,000) labelled documents of each class, drawn by a hash of doc_id.
+``fit`` bounds: about ``per_class`` (3,000) labelled documents of each class, drawn by a hash of doc_id.
 Scores cover whole texts. Null and empty texts have no features: severity is that of the thresholds alone.
 Without labels of both classes every severity is 0. Rows with equal doc_id are scored each on its own; labels
 that contradict one another for one doc_id count as toxic.
@@ -139,7 +139,7 @@ def _labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     sizes = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     share = F.when(F.col("toxic") == 1, F.lit(per_class / sizes[1])).otherwise(F.lit(per_class / sizes[0]))
     drawn = marks.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < F.least(share, F.lit(1.0)) * float(1 << 53))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Some 4,000 ids at most.
+    # Some 6,000 ids at most.
     rows = texts.join(F.broadcast(drawn), "doc_id").mapInArrow(_labelled, "doc_id bigint, toxic int, found binary, own binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.found))
     toxic = np.array([r.toxic == 1 for r in rows], bool)
