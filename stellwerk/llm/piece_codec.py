@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stellwerk.llm import columnar
 
 REMEMBERED = 500_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 _BREAK = chr(0x10FFFF)  # between words; a noncharacter
 _BLANK = "▁"
 _START, _NONE = -1, -2
