@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stellwerk.llm.columnar import stored, table
 from stellwerk.llm.language_id import known_language
 from stellwerk.llm.near_dedup import without_near_duplicates
-from stellwerk.llm.packing import pack
 from stellwerk.llm.quality_rules import clean_documents
-from stellwerk.llm.registry import vocabulary, word_pattern
+from stellwerk.llm.registry import packed
 from stellwerk.llm.substring_dedup import remove_repeated_passages
 
 
@@ -40,7 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
-    return pack(docs, vocabulary("byte_bpe_50k.tiktoken"), word_pattern())
+    return packed(docs)
 
 
 STAGES = [

@@ -9,6 +9,9 @@ given documents that needs 0.7 % more sequences than the sum of lengths, the rul
 sequences 4 %. Sequences that a group leaves with a gap are packed again as whole blocks, over ever fewer
 groups, as long as that joins a quarter of them or more.
 
+The added tokens of a vocabulary are found in plain text first, as its library does, and get their own ids; the
+text between them is tokenized part by part.
+
 Null text counts as empty (the end id alone). Rows that share a doc_id are packed each on its own, equal
 rows too.
 """
@@ -16,6 +19,7 @@ rows too.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -48,15 +52,18 @@ class WordTokenizer:
     """Byte-level BPE ids of whole batches; every distinct word is encoded once.
 
     The pattern of the vocabulary never joins a character to white space after it, so a text may be cut
-    before each run of white space. Texts with other than ASCII white space are encoded as they are.
+    before each run of white space. Texts with other than ASCII white space or an added token are encoded as they are.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self._encode = encoding.encode_ordinary
+        self._encode_all = lambda text: encoding.encode(text, allowed_special="all")
+        self._added = [token.encode("utf-8") for token in added]
         self._known: dict[int, np.ndarray] = {}
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
@@ -91,19 +98,35 @@ class WordTokenizer:
         for i in range(len(offsets) - 1):
             a, b = bounds[i], bounds[i + 1]
             text = raw[offsets[i] : offsets[i + 1]]
-            if a == b or (not text.isascii() and _OTHER_SPACE.search(text.decode("utf-8"))):
+            if any(token in text for token in self._added):
+                result.append(np.array(self._encode_all(text.decode("utf-8")), np.uint32))
+            elif a == b or (not text.isascii() and _OTHER_SPACE.search(text.decode("utf-8"))):
                 result.append(np.array(self._encode(text.decode("utf-8")), np.uint32))
             else:
                 result.append(out[total[a] : total[b]])
         return result
 
 
-_tokenizers: dict[tuple[str, str], WordTokenizer] = {}
+_tokenizers: dict[tuple, WordTokenizer] = {}
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Text and id of the added tokens of a vocabulary in the JSON form of the tokenizers library."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    # Tokens that take white space with them or need a word boundary are matched in another way.
+    odd = [t["content"] for t in tokens if t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if odd:
+        raise ValueError(f"added tokens with stripping or word boundaries: {odd}")
+    # The longest of those that begin at one place is taken.
+    return {t["content"]: t["id"] for t in sorted(tokens, key=lambda t: -len(t["content"]))}
+
 
+def _pieces(ranks_path: str, pattern: str, added: dict[str, int]):
+    key = (ranks_path, pattern, *added.items())
 
-def _pieces(ranks_path: str, pattern: str):
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.get((ranks_path, pattern)) or _tokenizers.setdefault((ranks_path, pattern), WordTokenizer(ranks_path, pattern))
+        tokenizer = _tokenizers.get(key) or _tokenizers.setdefault(key, WordTokenizer(ranks_path, pattern, added))
         for batch in columnar.sliced(batches, "text"):
             rows = []
             ids_of = tokenizer.batch(batch.column("text"))
@@ -158,12 +181,13 @@ def _pack(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"], "into": first, "shift": offset.astype("int64"), "total": total.astype("int64")})
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for ``doc_id, text`` rows."""
+def pack(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for ``doc_id, text`` rows; ``added`` are
+    the added tokens of the vocabulary, without which such a string is text like any other."""
     numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "row_id", F.monotonically_increasing_id()
     )
-    pieces = stored(numbered.mapInArrow(_pieces(ranks_path, pattern), _PIECES), "pieces")
+    pieces = stored(numbered.mapInArrow(_pieces(ranks_path, pattern, added or {}), _PIECES), "pieces")
     # A block is what is packed as a whole: at first the one short piece of a row, later a sequence with a gap.
     placed = pieces.where((F.col("piece") == 0) & (F.col("length") < LENGTH)).select(
         F.col("row_id"), F.col("row_id").alias("block"), F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("size")

@@ -13,7 +13,7 @@ from stellwerk.llm.fingerprints import fingerprints
 from stellwerk.llm.html_extraction import extract_text
 from stellwerk.llm.language_id import fit, held_out, identify
 from stellwerk.llm.near_dedup import near_duplicates
-from stellwerk.llm.packing import pack
+from stellwerk.llm.packing import added_tokens, pack
 from stellwerk.llm.piece_codec import decode, digests, encode
 from stellwerk.llm.quality_rules import judge
 from stellwerk.llm.substring_dedup import remove_repeated_passages
@@ -35,6 +35,11 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows of the byte-level vocabulary, its added tokens included."""
+    return pack(docs, vocabulary("byte_bpe_50k.tiktoken"), word_pattern(), added_tokens(vocabulary("byte_bpe_50k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline.py``, which builds on this module."""
     import corpus_pipeline
@@ -57,7 +62,7 @@ def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), word_pattern())
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

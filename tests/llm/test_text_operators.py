@@ -7,11 +7,12 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stellwerk.llm import packing, piece_codec
 from stellwerk.llm.fingerprints import fingerprints
 from stellwerk.llm.packing import pack, sum_of_squares
 from stellwerk.llm.quality_rules import clean_documents, judge
-from stellwerk.llm.registry import vocabulary, word_pattern
+from stellwerk.llm.registry import packed, vocabulary, word_pattern
 from stellwerk.llm.substring_dedup import remove_repeated_passages
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -123,6 +124,20 @@ def test_packing(spark, odd, monkeypatch):
     assert pack(docs.limit(0), vocabulary("byte_bpe_50k.tiktoken"), word_pattern()).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one<|endoftext|><|endoftext|> \n two  ", "é　x <|endoftext|>\n", "<|endoftext| >", "plain  text"]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for rows in (packed(docs).collect(), corpus_pipeline.packing(spark, docs, "").collect()):
+        for r in rows:
+            ids = np.array(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2], "<u4")
+            assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), texts[r.doc_id]
+        assert len(rows) == len(texts)
+
+
 def test_sum_of_squares_takes_the_best_gap():
     rng = np.random.default_rng(1)
     sizes = np.sort(rng.integers(1, 40, 300))[::-1]
