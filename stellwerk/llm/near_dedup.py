@@ -1,7 +1,7 @@
 """Near-duplicate documents by an inverted join of MinHash signatures.
 
 1. Every whole text becomes its set of word shingles, a digest of that set and a MinHash signature of 64
-   coordinates. Documents with equal sets form a class; only its smallest id goes on.
+   coordinates. Documents with equal sets form a class; only its smallest node goes on.
 2. Documents are posted under their coordinate values. Of 64 coordinates, 63 are posted in 21 groups of
    three, the prefix: two signatures that agree in 44 or more coordinates differ in 20 at most and
    so share a whole posting. At a similarity of 0.8 the chance to share none is 3e-7.
@@ -16,8 +16,9 @@ components that reach ``MATCHES``, and that have not met in an earlier list, are
 there, and a task emits an edge only if it joins two components, so fewer edges than it has documents.
 Nothing is capped.
 
-Null text and texts without words have an empty set and are linked with nothing. Rows that share a doc_id
-(null counts as one id) are one node of the graph; each keeps its own row in the result.
+Null text and texts without words have an empty set and are linked with nothing. Every row is a node of its
+own, by a number that is written once with the rows; doc_id, null or repeated, only names components: by
+its smallest, null before all others. Of rows with that doc_id one is kept, with the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm import columnar
@@ -40,14 +41,12 @@ MATCHES = 36
 BLOCK = 1024
 # Leaders of a document that are confirmed first.
 TRIED = 3
-# Stands for a null doc_id inside the operator.
-NO_ID = -(1 << 63)
 
 _random = np.random.default_rng(20240917)
 _FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
-_PROFILE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, signature binary, postings array<bigint>"
+_PROFILE = "node bigint, doc_id bigint, text_hash bigint, n_shingles bigint, d1 bigint, d2 bigint, signature binary, postings array<bigint>"
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -94,14 +93,14 @@ def _profiles(width: int):
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    *[batch.column(c) for c in ("node", "doc_id", "text_hash")],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests[:, 0].view(np.int64)),
                     pa.array(digests[:, 1].view(np.int64)),
                     pa.array(signatures, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "signature", "postings"],
+                names=["node", "doc_id", "text_hash", "n_shingles", "d1", "d2", "signature", "postings"],
             )
 
     return profile
@@ -113,12 +112,12 @@ def _set_rows(width: int):
             coordinates = [signature(values) for values in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("node"),
                     pa.array([values.tobytes() for values in sets], pa.binary()),
                     pa.array([(c & 0xFF).astype(np.uint8).tobytes() for c in coordinates], pa.binary()),
                     pa.array([postings(c) for c in coordinates], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "shingles", "signature", "postings"],
+                names=["node", "shingles", "signature", "postings"],
             )
 
     return rows
@@ -158,7 +157,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _across_components(percent: int):
     def join_blocks(group: pa.Table) -> pa.Table:
         """Edges between components, from two blocks of one list or from one block."""
-        ids, block = (group.column(c).to_numpy() for c in ("doc_id", "block"))
+        ids, block = (group.column(c).to_numpy() for c in ("node", "block"))
         low, high, key = (group.column(c)[0].as_py() for c in ("low", "high", "key"))
         signatures = _matrix(group.column("signature").combine_chunks())
         posted = np.array(group.column("postings").to_pylist(), np.int64)
@@ -192,36 +191,38 @@ def _across_components(percent: int):
     return join_blocks
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = stored(texts.mapInArrow(_profiles(width), _PROFILE), "profiles")
+def _components(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, doc_id, n_shingles, component_id, kept`` for written rows of ``node, doc_id, text``."""
+    hashed = rows.select("node", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    profiles = stored(hashed.mapInArrow(_profiles(width), _PROFILE), "profiles")
     filled = profiles.where("n_shingles > 0")
-    classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("member_of"), F.count("*").alias("n"))
+    # Of a class or component the first row is kept.
+    rank = F.struct("doc_id", "text_hash", "node")
+    classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("member_of"), F.min(rank).alias("first"), F.count("*").alias("n"))
     shared = classes.where("n > 1").drop("n")
     members = stored(
-        profiles.select("doc_id", "n_shingles", "d1", "d2")
+        profiles.select("node", "doc_id", "n_shingles", "d1", "d2", rank.alias("own"))
         .join(shared, ["d1", "d2", "n_shingles"], "left")
-        .withColumn("member_of", F.coalesce("member_of", "doc_id")),
+        .select("node", "doc_id", "n_shingles", "d1", "d2", F.coalesce("member_of", "node").alias("member_of"), F.coalesce("first", "own").alias("first")),
         "members",
     )
-    others = members.where("doc_id <> member_of").select("doc_id", "d1", "d2")
-    nodes = filled.join(others, ["doc_id", "d1", "d2"], "left_anti").select("doc_id", "signature", "postings")
+    others = members.where("node <> member_of").select("node", "d1", "d2")
+    nodes = filled.join(others, ["node", "d1", "d2"], "left_anti").select("node", "signature", "postings")
     nodes = stored(nodes, "nodes")
 
     # Posting lists of two documents or more, each with a leader picked by the list's own key.
-    posted = nodes.select("doc_id", F.explode("postings").alias("key"))
-    lists = posted.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(F.col("key"))).alias("first"), F.count("*").alias("n"))
+    posted = nodes.select("node", F.explode("postings").alias("key"))
+    lists = posted.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("first"), F.count("*").alias("n"))
     lists = lists.where("n > 1").select("key", "n", F.col("first").bitwiseXOR(F.col("key")).alias("leader"))
     entries = stored(posted.join(lists, "key"), "entries")
-    signatures = nodes.select("doc_id", "signature")
+    signatures = nodes.select("node", "signature")
 
     def with_both(pairs: DataFrame, names: tuple[str, str], side: DataFrame, value: str) -> DataFrame:
         for name, out in zip(names, ("left", "right")):
-            pairs = pairs.join(side.select(F.col("doc_id").alias(name), F.col(value).alias(out)), name)
+            pairs = pairs.join(side.select(F.col("node").alias(name), F.col(value).alias(out)), name)
         return pairs
 
-    met = entries.where("doc_id <> leader").select(F.col("doc_id").alias("member"), "leader").distinct()
+    met = entries.where("node <> leader").select(F.col("node").alias("member"), "leader").distinct()
     counted = with_both(met, ("member", "leader"), signatures, "signature")
     near = counted.mapInArrow(_collisions, "member bigint, leader bigint, matches bigint")
     # A document has one leader per list, 21 at most.
@@ -231,26 +232,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
     # Shingle sets of the documents in any list, written once.
-    wanted = entries.select("doc_id").distinct()
-    sets = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(
-        _set_rows(width), "doc_id bigint, shingles binary, signature binary, postings array<bigint>"
+    wanted = entries.select("node").distinct()
+    sets = rows.select("node", "text").join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(
+        _set_rows(width), "node bigint, shingles binary, signature binary, postings array<bigint>"
     )
     sets = stored(sets, "sets")
     both = with_both(best.distinct(), ("a", "b"), sets, "shingles")
     homes = connected_components(both.mapInArrow(_similar(percent), "a bigint, b bigint"))
 
-    placed = entries.join(homes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    placed = entries.join(homes, "node", "left").select(
+        "key", "n", "node", F.coalesce("component", "node").alias("component")
     )
     spread = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
     open_lists = spread.where("c1 <> c2").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mixed = (
         placed.join(open_lists, "key", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component")
-        .join(sets, "doc_id")
+        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
+        .join(sets, "node")
     )
     across = mixed.groupBy("key", "low", "high").applyInArrow(_across_components(percent), "a bigint, b bigint")
     # The second graph has components as nodes.
@@ -267,23 +268,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "homes",
     )
 
-    result = members.join(homes.select(F.col("node").alias("member_of"), "component"), "member_of", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "member_of").alias("component_id")
-    )
-    null_id = F.lit(None).cast("bigint")
-    return result.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).otherwise(null_id).alias("doc_id"),
-        "n_shingles",
-        F.when(F.col("component_id") != NO_ID, F.col("component_id")).otherwise(null_id).alias("component_id"),
-        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+    firsts = members.where("node = member_of").select("node", "first")
+    tops = homes.join(firsts, "node").groupBy("component").agg(F.min("first").alias("top"))
+    homes = homes.join(tops, "component").select(F.col("node").alias("member_of"), "top")
+    return members.join(homes, "member_of", "left").withColumn("top", F.coalesce("top", "first")).select(
+        "node", "doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("node") == F.col("top.node")).alias("kept")
     )
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
+    return _components(rows, width, percent).drop("node")
+
+
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of rows that share a doc_id the one
-    with the smallest hash of its text."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone")), "left_anti")
-    order = Window.partitionBy(F.col("doc_id")).orderBy(F.xxhash64("text"), "text")
-    place = "place in doc_id"
-    return left.withColumn(place, F.row_number().over(order)).where(F.col(f"`{place}`") == 1).drop(place)
+    """The rows of ``docs`` that are kept: one of each component."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    found = _components(rows.select("node", doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")), width, percent)
+    left = rows.join(found.where("NOT kept").select("node"), "node", "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

@@ -4,7 +4,7 @@ import random
 import re
 
 from stellwerk.llm.components import connected_components
-from stellwerk.llm.near_dedup import near_duplicates
+from stellwerk.llm.near_dedup import near_duplicates, without_near_duplicates
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -84,6 +84,22 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    def text(name, *changed):
+        return " ".join(f"x{i}" if i in changed else f"{name}{i}" for i in range(100))
+
+    rows = [(None, text(f"n{i}-")) for i in range(60)] + [(7, text("s")), (7, text("t")), (8, text("t", 99)), (9, text("n0-", 99)), (10, text("n1-", 99))]
+    rows += [(None, text("n2-")), (None, text("n3-", 99)), (11, text("p")), (11, text("p"))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, `c 0` int")
+    kept = {r["c 0"] for r in without_near_duplicates(docs).collect()}
+    # 9, 10 and the two last null rows are copies of null rows, 8 of one row of id 7, one row of id 11 of the other.
+    assert kept - {2, 3, 65, 66, 67, 68} == set(range(62)) - {2, 3}
+    assert [len(kept & pair) for pair in ({2, 65}, {3, 66}, {67, 68})] == [1, 1, 1]
+    result = near_duplicates(docs, 5).collect()
+    assert len(result) == len(rows) and sum(r.kept for r in result) == len(kept)
+    assert sorted((r.doc_id, r.component_id) for r in result if r.doc_id in (7, 8)) == [(7, 7), (7, 7), (8, 7)]
+
+
 def test_components_of_a_path(spark):
     n = 50
     edges = spark.createDataFrame([((i * 7) % n, ((i + 1) * 7) % n) for i in range(n - 1)], "a bigint, b bigint")
