@@ -12,8 +12,9 @@ Runs are hashed to 64 bits on the executors, once for each document; the join fi
 each hash (minima are taken before the shuffle, so a passage in a third of all documents costs one row per
 task) and returns to each document the hashes that occur in an earlier one. No pair of documents is formed.
 
-Null text stays null. Rows that share a doc_id (null counts as one id, after all others) count as one
-document: they don't remove each other's runs. Texts without a repeated run are returned byte for byte; in
+Null text stays null. Every row with a null doc_id is a document of its own, after all others. Rows that share
+both doc_id and text are one document, recorded more than once: they don't remove each other's runs; rows that
+share the doc_id alone are different documents, in the order of a hash of their texts. Texts without a repeated run are returned byte for byte; in
 others, white space around removed sentences shrinks to what stood before them or to one line feed.
 """
 
@@ -99,8 +100,8 @@ def _run_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in columnar.sliced(batches, "text"):
         runs = Runs(batch.column("text"))
         new = np.flatnonzero(~runs.again)
-        ids = batch.column("doc_id").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(runs.hash[new]), pa.array(ids[runs.row[new]])], names=["run", "doc_id"])
+        ids = [pa.array(batch.column(c).to_numpy()[runs.row[new]]) for c in ("doc_id", "part")]
+        yield pa.RecordBatch.from_arrays([pa.array(runs.hash[new]), *ids], names=["run", "doc_id", "part"])
 
 
 def _rebuilt(raw: bytes, starts: np.ndarray, end: int, removed: np.ndarray) -> bytes:
@@ -150,18 +151,23 @@ def _cleaned(text_at: int):
 def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated passages removed from ``text`` (``n_chars`` follows, where it is a
     column) in a struct ``row``, and ``n_removed``, the number of sentences removed."""
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    texts = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = stored(texts.mapInArrow(_run_rows, "run bigint, doc_id bigint"), "runs")
-    repeated = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    later = runs.join(repeated.hint("shuffle_hash"), "run").where("doc_id <> first")
-    hits = later.groupBy("doc_id").agg(F.collect_set("run").alias("hits")).withColumnRenamed("doc_id", "key")
-
     names = [f"c{i}" for i in range(len(docs.columns))]
-    text_at = docs.columns.index("text")
-    marked = docs.withColumn("text", F.col("text").cast("string")).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    id_column = F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("bigint"), F.lit(NO_ID))
-    joined = marked.withColumn("key", id_column).join(hits, "key", "left").select(*names, "hits")
+    text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
+    numbered = docs.withColumn("text", F.col("text").cast("string")).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    # The numbers of rows are written once, with the rows.
+    numbered = stored(numbered.withColumn("number", F.monotonically_increasing_id()), "rows")
+    id_column, text = F.col(names[id_at]).cast("bigint"), F.col(names[text_at])
+    # A document is a doc_id and a part of it: the hash of its text or, without an id, the row's number.
+    marked = numbered.withColumns(
+        {"doc_id": F.coalesce(id_column, F.lit(NO_ID)), "part": F.when(id_column.isNull(), F.col("number")).otherwise(F.xxhash64(text))}
+    ).drop("number")
+    document = F.struct("doc_id", "part")
+    runs = stored(marked.select("doc_id", "part", text.alias("text")).mapInArrow(_run_rows, "run bigint, doc_id bigint, part bigint"), "runs")
+    repeated = runs.groupBy("run").agg(F.min(document).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    later = runs.join(repeated.hint("shuffle_hash"), "run").where(document != F.col("first"))
+    hits = later.groupBy("doc_id", "part").agg(F.collect_set("run").alias("hits"))
+
+    joined = marked.join(hits, ["doc_id", "part"], "left").select(*names, "hits")
     kinds = [T.StructField(n, T.StringType() if i == text_at else docs.schema[i].dataType) for i, n in enumerate(names)]
     schema = T.StructType([*kinds, T.StructField("n_removed", T.LongType())])
     cleaned = joined.mapInArrow(_cleaned(text_at), schema)

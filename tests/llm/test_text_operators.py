@@ -219,6 +219,19 @@ def test_passages(spark, sf_dir):
     assert found[2002].row.text == "Own words.\nMore."
 
 
+def test_passages_of_null_and_repeated_ids(spark):
+    passage = " ".join(f"P{i} stands here and says so." for i in range(12))
+    rows = [(None, f"Null row {i} begins. {passage} Null row {i} ends.") for i in range(30)]
+    rows += [(i, f"Row {i} of {n} begins. {passage}") for i in (5, 6) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = remove_repeated_passages(docs).collect()
+    assert len(found) == len(rows)
+    # One row of the smallest id keeps the passage; its own words stay with every row.
+    assert sorted(r.n_removed for r in found) == [0] + [12] * 35
+    assert [r.row.doc_id for r in found if r.n_removed == 0] == [5]
+    assert {r.row.text for r in found if r.row.doc_id is None} == {f"Null row {i} begins. Null row {i} ends." for i in range(30)}
+
+
 def test_passages_odd_rows(odd):
     rows = remove_repeated_passages(odd).collect()
     assert len(rows) == len(ODD) and all(r.row.hits == 3 for r in rows)
