@@ -9,7 +9,7 @@ Each line of a text is judged by itself. A line with a word fails as
 
 Lines that fail are removed. A document is rejected if more than half of its word characters go with
 them, or by the base rule: fewer than 50 words, or more than half of its words in repeated three-word
-windows. Lines without a word are neither judged nor counted.
+windows. Lines without a word are neither judged nor counted, and stay where they are.
 
 Null text counts as a text without words (base rule: rejected). Line and word counts are exact for texts
 of any length: nothing is cut, and all work grows with n log n of the words of a text.
@@ -87,14 +87,17 @@ def judge(docs: DataFrame) -> DataFrame:
     step = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)).alias("words"),
-        F.filter(all_lines, lambda line: line.rlike(WORD)).alias("lines"),
+        all_lines.alias("all_lines"),
         (F.char_length(text) - _length_left(text, WORD)).alias("word_chars"),
         _length_left(text, SYMBOLS).alias("n_symbols"),
     )
     words = F.col("words")
     step = step.withColumn(
         "windows", F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    ).withColumn("good_lines", F.filter("lines", lambda line: ~line_fails(line)))
+    )
+    # No rule fails a line without a word.
+    step = step.withColumn("lines", F.filter("all_lines", lambda line: line.rlike(WORD)))
+    step = step.withColumn("good_lines", F.filter("all_lines", lambda line: ~line_fails(line)))
     # Three-word windows that may be repeated: the high bits of the hash with the place in the low bits sort
     # as plain numbers, and equal high bits come to stand side by side.
     low = (1 << PLACE_BITS) - 1

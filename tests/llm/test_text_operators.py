@@ -68,6 +68,14 @@ def test_clean_documents(spark):
     assert clean_documents(docs.limit(0)).count() == 0
 
 
+def test_clean_documents_keep_blank_lines(spark):
+    texts = [GOOD + "\n\n" + GOOD.replace("word", "term") + "\n \t\n\nEnd.\n", "\n\n" + GOOD + "\n\nHome | News | Sport\n\nEnd."]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    found = {r.doc_id: r for r in clean_documents(docs).collect()}
+    assert found[0].text == texts[0] and found[1].text == texts[1].replace("Home | News | Sport\n", "")
+    assert all(r.n_chars == len(r.text) for r in found.values())
+
+
 def test_fingerprints(spark, odd):
     rows = fingerprints(odd).collect()
     assert len(rows) == len(ODD)
