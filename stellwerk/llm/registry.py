@@ -12,6 +12,7 @@ from stellwerk.llm.columnar import new_folder, table
 from stellwerk.llm.fingerprints import fingerprints
 from stellwerk.llm.html_extraction import extract_text
 from stellwerk.llm.language_id import fit, held_out, identify
+from stellwerk.llm.mixing import mix
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import added_tokens, pack
 from stellwerk.llm.piece_codec import decode, digests, encode
@@ -116,6 +117,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("row.doc_id", *[f"quality.{n}" for n in names])
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -127,7 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_mixing": op11_mixing,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": sql.QUALITY}
+ORACLE_SQL: dict[str, str] = {"op10_quality_rules": sql.QUALITY, "op11_mixing": sql.MIXING}

@@ -46,3 +46,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * (word_chars - kept_chars) <= word_chars AS kept
 FROM counts
 """
+
+# Sources share the total by weight until none is above twice its size; a source's documents are then taken in the
+# order of their hash, once more, while its budget lasts.
+MIXING = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, coalesce(text, '') AS t FROM documents
+), sizes AS (
+    SELECT doc_id, source,
+        CAST(len(list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda w: w <> '')) AS BIGINT) AS size,
+        CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || t), 15) AS BIGINT) AS h
+    FROM docs
+), sources AS (
+    SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+    FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source)
+), rounds AS (
+    SELECT 1 AS i, 1.5::DOUBLE * sum(source_size) / sum(w) AS unit FROM sources
+    UNION ALL
+    SELECT i + 1, (
+        SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2 * source_size) FILTER (w * r.unit > 2 * source_size), 0))
+            / sum(w) FILTER (w * r.unit <= 2 * source_size)
+        FROM sources)
+    FROM rounds AS r WHERE i < 64
+), targets AS (
+    SELECT source, source_size,
+        least(w * (SELECT max(unit) FROM rounds), 2 * source_size)::DOUBLE AS target
+    FROM sources
+), budgets AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
+), ordered AS (
+    SELECT s.*, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size
+        - (sum(s.size) OVER (PARTITION BY s.source ORDER BY h, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size) AS rest
+    FROM sizes AS s JOIN budgets AS b ON s.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target,
+    CAST(size * (whole + CASE WHEN rest >= size OR (rest > 0 AND size <= 2 * rest) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ordered
+"""
