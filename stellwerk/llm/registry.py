@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stellwerk.llm import sql
 from stellwerk.llm.columnar import new_folder, table
 from stellwerk.llm.fingerprints import fingerprints
+from stellwerk.llm.hard_negatives import hard_negatives
 from stellwerk.llm.html_extraction import extract_text
 from stellwerk.llm.language_id import fit, held_out, identify
 from stellwerk.llm.mixing import mix
@@ -122,6 +123,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -134,7 +141,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": sql.QUALITY, "op11_mixing": sql.MIXING}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": sql.QUALITY,
+    "op11_mixing": sql.MIXING,
+    "op12_hard_negatives": sql.HARD_NEGATIVES,
+}
