@@ -16,6 +16,7 @@ from stellwerk.llm.language_id import fit, held_out, identify
 from stellwerk.llm.mixing import mix
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import added_tokens, pack
+from stellwerk.llm.phrases import collocations
 from stellwerk.llm.piece_codec import decode, digests, encode
 from stellwerk.llm.quality_rules import judge
 from stellwerk.llm.substring_dedup import remove_repeated_passages
@@ -129,6 +130,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_mixing": op11_mixing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -149,4 +155,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_quality_rules": sql.QUALITY,
     "op11_mixing": sql.MIXING,
     "op12_hard_negatives": sql.HARD_NEGATIVES,
+    "op13_collocations": sql.COLLOCATIONS,
 }

@@ -107,3 +107,45 @@ FROM positives JOIN scored USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY rank <= 5
 """
+
+COLLOCATIONS = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), parts AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), places AS (
+    SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM parts
+), f1 AS (
+    SELECT lang, ws[i] AS w1, count(*) AS f FROM places GROUP BY ALL
+), f2 AS (
+    SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, count(*) AS f FROM places WHERE i < len(ws) GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+    SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3, count(*) AS f FROM places WHERE i + 1 < len(ws)
+    GROUP BY ALL HAVING count(*) >= 10
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang
+), cuts AS (
+    SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r, 1 AS k
+    FROM f2 AS p JOIN f1 AS x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 AS y ON y.lang = p.lang AND y.w1 = p.w2
+    WHERE NOT EXISTS (
+        SELECT * FROM f3 AS t
+        WHERE t.lang = p.lang AND (t.w1 = p.w1 AND t.w2 = p.w2 OR t.w2 = p.w1 AND t.w3 = p.w2) AND 100 * t.f >= 50 * p.f)
+    UNION ALL
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1
+    FROM f3 AS t JOIN f1 AS x ON x.lang = t.lang AND x.w1 = t.w1
+    JOIN f2 AS y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+    UNION ALL
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2
+    FROM f3 AS t JOIN f2 AS x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+    JOIN f1 AS y ON y.lang = t.lang AND y.w1 = t.w3
+), scored AS (
+    SELECT lang, phrase, a, l, r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score
+    FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r), k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
