@@ -8,7 +8,7 @@ compared by their words in small letters (A-Z), whatever white space lies betwee
 A run that occurs more than once stays where it occurs first: in the document with the smallest doc_id, and
 there at its first place. Sentences covered by any other occurrence are removed.
 
-Runs are hashed to 64 bits on the executors, once for each document; the join finds the smallest doc_id for
+Runs are hashed to 128 bits on the executors, once for each document; the join finds the smallest doc_id for
 each hash (minima are taken before the shuffle, so a passage in a third of all documents costs one row per
 task) and returns to each document the hashes that occur in an earlier one. No pair of documents is formed.
 
@@ -36,6 +36,7 @@ WORDS = 12
 LONG_WORDS = 40
 # Stands for a null doc_id inside the operator.
 NO_ID = (1 << 63) - 1
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -82,6 +83,9 @@ class Runs:
         a, b = first[self.begin], stops[self.end] if len(first) else self.end
         self.row = self.sentence_row[self.begin]
         self.hash = columnar.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+        # A second hash, of other values of the words: across the corpus, runs are equal if both are.
+        others = np.append(np.uint64(0), np.cumsum(columnar.mix(hashes ^ _OTHER) * up[:n], dtype=np.uint64))
+        self.check = columnar.mix((others[b] - others[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
         # Runs that have stood before in the same text.
         order = np.lexsort((self.begin, self.hash, self.row))
         same = (self.hash[order][1:] == self.hash[order][:-1]) & (self.row[order][1:] == self.row[order][:-1])
@@ -101,7 +105,7 @@ def _run_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(batch.column("text"))
         new = np.flatnonzero(~runs.again)
         ids = [pa.array(batch.column(c).to_numpy()[runs.row[new]]) for c in ("doc_id", "part")]
-        yield pa.RecordBatch.from_arrays([pa.array(runs.hash[new]), *ids], names=["run", "doc_id", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(runs.hash[new]), pa.array(runs.check[new]), *ids], names=["run", "check", "doc_id", "part"])
 
 
 def _rebuilt(raw: bytes, starts: np.ndarray, end: int, removed: np.ndarray) -> bytes:
@@ -153,21 +157,21 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     column) in a struct ``row``, and ``n_removed``, the number of sentences removed."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
-    numbered = docs.withColumn("text", F.col("text").cast("string")).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    # The numbers of rows are written once, with the rows.
-    numbered = stored(numbered.withColumn("number", F.monotonically_increasing_id()), "rows")
+    renamed = docs.withColumn("text", F.col("text").cast("string")).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
     id_column, text = F.col(names[id_at]).cast("bigint"), F.col(names[text_at])
-    # A document is a doc_id and a part of it: the hash of its text or, without an id, the row's number.
-    marked = numbered.withColumns(
-        {"doc_id": F.coalesce(id_column, F.lit(NO_ID)), "part": F.when(id_column.isNull(), F.col("number")).otherwise(F.xxhash64(text))}
-    ).drop("number")
+    # A document is a doc_id and a part of it: the hash of its text or, without an id, the row's number. Only rows that need
+    # a number are written, once, with it.
+    known = renamed.where(id_column.isNotNull()).withColumns({"doc_id": id_column, "part": F.xxhash64(text)})
+    nameless = renamed.where(id_column.isNull()).withColumns({"doc_id": F.lit(NO_ID), "part": F.monotonically_increasing_id()})
+    marked = known.unionByName(stored(nameless, "rows"))
     document = F.struct("doc_id", "part")
-    runs = stored(marked.select("doc_id", "part", text.alias("text")).mapInArrow(_run_rows, "run bigint, doc_id bigint, part bigint"), "runs")
-    repeated = runs.groupBy("run").agg(F.min(document).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    later = runs.join(repeated.hint("shuffle_hash"), "run").where(document != F.col("first"))
+    runs = stored(marked.select("doc_id", "part", text.alias("text")).mapInArrow(_run_rows, "run bigint, check bigint, doc_id bigint, part bigint"), "runs")
+    repeated = runs.groupBy("run", "check").agg(F.min(document).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = runs.join(repeated.hint("shuffle_hash"), ["run", "check"]).where(document != F.col("first"))
     hits = later.groupBy("doc_id", "part").agg(F.collect_set("run").alias("hits"))
 
-    joined = marked.join(hits, ["doc_id", "part"], "left").select(*names, "hits")
+    # Rows with their texts are not sorted.
+    joined = marked.join(hits.hint("shuffle_hash"), ["doc_id", "part"], "left").select(*names, "hits")
     kinds = [T.StructField(n, T.StringType() if i == text_at else docs.schema[i].dataType) for i, n in enumerate(names)]
     schema = T.StructType([*kinds, T.StructField("n_removed", T.LongType())])
     cleaned = joined.mapInArrow(_cleaned(text_at), schema)
