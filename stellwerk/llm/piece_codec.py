@@ -17,8 +17,9 @@ blank character of the vocabulary itself, U+2581, comes back as a blank, as the
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from stellwerk.llm import columnar
 
 REMEMBERED = 500_000
 SLICE_BYTES = 3 << 20
+# Characters of new words matched at a time; each has several edges.
+ROUND = 1 << 18
 _BREAK = chr(0x10FFFF)  # between words; a noncharacter
 _BLANK = "▁"
 _START, _NONE = -1, -2
@@ -76,15 +79,27 @@ class Vocabulary:
     def merged(self, word: str) -> tuple[list[str], tuple[int, int] | None]:
         """Merge pairs of the word one after another, the best pair first, of equal ones the left one; the pieces,
         and the parts of the last merge if one piece is left."""
-        symbols, last = list(word), None
-        while len(symbols) > 1:
-            ranks = [self.order.get(a + b, len(self.order)) for a, b in zip(symbols, symbols[1:])]
-            at = min(range(len(ranks)), key=ranks.__getitem__)
-            if ranks[at] == len(self.order):
-                return symbols, None
-            last = (self.order[symbols[at]], self.order[symbols[at + 1]]) if symbols[at] in self.order and symbols[at + 1] in self.order else None
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols, last
+        order, symbols, last = self.order, list(word), None
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(order[a + b], i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in order]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            # Pairs that have changed since they were noted are passed over.
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            last = (order[a], order[b]) if a in order and b in order else None
+            symbols[i], symbols[j] = a + b, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and symbols[left] + symbols[right] in order:
+                    heapq.heappush(heap, (order[symbols[left] + symbols[right]], left, symbols[left], symbols[right]))
+        symbols = [x for x in symbols if x]
+        return symbols, last if len(symbols) == 1 else None
 
     def _edge(self, piece: int, side: int) -> list[tuple[str, float]]:
         """The parts of a piece along one side, each with the place in the merge order at which it is used up."""
@@ -159,7 +174,21 @@ def occurrences(points: np.ndarray, order: np.ndarray, matrix: np.ndarray, lengt
 
 
 def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """Ids of words in which blanks are written as the vocabulary's blank character."""
+    """Ids of words in which blanks are written as the vocabulary's blank character.
+
+    Words are matched in rounds of ``ROUND`` characters or one longer word.
+    """
+    out: list[np.ndarray] = []
+    start, size = 0, 0
+    for i, word in enumerate(words):
+        if i > start and size + len(word) > ROUND:
+            out += _matched(vocabulary, words[start:i])
+            start, size = i, 0
+        size += len(word) + 1
+    return out + _matched(vocabulary, words[start:])
+
+
+def _matched(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray | None] = [None] * len(words)
     simple = []
     for i, word in enumerate(words):
@@ -175,18 +204,19 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
     order = suffix_array(points, vocabulary.longest)
     low, high = occurrences(points, order, vocabulary.matrix, vocabulary.lengths)
     n = high - low
-    start = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    piece, length = np.repeat(vocabulary.reachable, n), np.repeat(vocabulary.lengths, n)
+    start = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int32)
+    piece, length = (np.repeat(x.astype(np.int32), n) for x in (vocabulary.reachable, vocabulary.lengths))
+    del order, low, high
     # Characters without a piece are edges of their own, which nothing joins.
     single = np.zeros(len(points), bool)
     single[start[length == 1]] = True
     single[points == ord(_BREAK)] = True
     unknown = np.flatnonzero(~single)
-    start, length = np.append(start, unknown), np.append(length, np.ones(len(unknown), np.int64))
-    piece = np.append(piece, np.full(len(unknown), len(vocabulary.pieces)))
-    word_begin = np.repeat(begins, sizes + 1)
+    start, length = np.append(start, unknown.astype(np.int32)), np.append(length, np.ones(len(unknown), np.int32))
+    piece = np.append(piece, np.full(len(unknown), len(vocabulary.pieces), np.int32))
+    word_begin = np.repeat(begins.astype(np.int32), sizes + 1)
     place = start + length - word_begin[start]
-    by_place = np.argsort(place.astype(np.int32), kind="stable")
+    by_place = np.argsort(place, kind="stable")
     start, length, piece, place = start[by_place], length[by_place], piece[by_place], place[by_place]
     last, came = np.full(len(points) + 1, _NONE), np.zeros(len(points) + 1, np.int64)
     last[begins] = _START
@@ -283,16 +313,30 @@ def _encoded(model_path: str):
 def _decoded(model_path: str):
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _tools(model_path)[0].bytes
-        for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                text = b"".join([pieces[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]) if ids.is_valid else b""
-                texts.append(text[1:].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+        for whole in batches:
+            for batch in _by_length(whole):
+                texts = []
+                for ids in batch.column("ids"):
+                    text = b"".join([pieces[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]) if ids.is_valid else b""
+                    texts.append(text[1:].decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return decode
 
 
+def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut into pieces of about as many ids as a slice has bytes."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+    start, size = 0, 0
+    for i, more in enumerate(sizes):
+        if i > start and size + more > SLICE_BYTES // 4:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += more
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids`` of ``doc_id, text`` rows."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -311,7 +355,26 @@ def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(sums, pa.int64()), batch.column("text")], names=["doc_id", "n_ids", "ids_crc32", "text"])
 
 
+_DIGESTS = "doc_id bigint, n_ids bigint, ids_crc32 bigint, text string"
+
+
+def _hashed(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """``doc_id, n_ids, ids_crc32`` (of little-endian unsigned 32-bit ids) and ``text_sha256`` of the decoded text."""
-    found = decoded.mapInArrow(_digested, "doc_id bigint, n_ids bigint, ids_crc32 bigint, text string")
-    return found.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+    return _hashed(decoded.mapInArrow(_digested, _DIGESTS))
+
+
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """``digests(decode(encode(docs)))`` with the three steps in one worker, so that each task has one instead of three."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    steps: list[Callable] = [_encoded(model_path), _decoded(model_path), _digested]
+
+    def chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return _hashed(rows.mapInArrow(chained, _DIGESTS))

@@ -17,7 +17,7 @@ from stellwerk.llm.mixing import mix
 from stellwerk.llm.near_dedup import near_duplicates
 from stellwerk.llm.packing import added_tokens, pack
 from stellwerk.llm.phrases import collocations
-from stellwerk.llm.piece_codec import decode, digests, encode
+from stellwerk.llm.piece_codec import round_trip
 from stellwerk.llm.quality_rules import judge
 from stellwerk.llm.substring_dedup import remove_repeated_passages
 from stellwerk.llm.toxicity import toxicity
@@ -69,8 +69,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), model), model))
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,28 @@ def test_piece_codec(spark, odd):
     assert piece_codec.digests(piece_codec.decode(piece_codec.encode(docs.limit(0), model), model)).count() == 0
 
 
+def test_piece_codec_long_blanks_and_rounds(spark, odd, monkeypatch):
+    """100,000 blanks merge in time that grows with their number; rounds of few characters give the same pieces."""
+    import sentencepiece
+
+    model = vocabulary("piece_bpe_32k.model")
+    reference = sentencepiece.SentencePieceProcessor(model_file=model)
+    tools = piece_codec.Vocabulary(model)
+    blanks = "a" + " " * 100_000 + "b" + " " * 5
+    assert tools.to_ids(tools.merged("▁a" + "▁" * 100_000 + "b" + "▁" * 5)[0]).tolist() == reference.encode(blanks)
+    words = [w for _, t in ODD for w in re.findall("▁[^▁]*", "▁" + (t or "").replace(" ", "▁"))]
+    whole = piece_codec.encode_words(tools, words)
+    monkeypatch.setattr(piece_codec, "ROUND", 50)
+    some = words[:60] + words[-60:]
+    assert all((a == b).all() for a, b in zip([*whole[:60], *whole[-60:]], piece_codec.encode_words(tools, some)))
+    assert len(piece_codec.encode_words(tools, [])) == 0
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(300, blanks)], "doc_id bigint, text string"))
+    one = sorted(map(str, piece_codec.round_trip(rows, model).collect()))
+    assert one == sorted(map(str, piece_codec.digests(piece_codec.decode(piece_codec.encode(rows, model), model)).collect()))
+    none = spark.createDataFrame([(1, None), (2, []), (3, [5])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in piece_codec.decode(none, model).collect()}.keys() == {1, 2, 3}
+
+
 def sentences(text):
     return [s for s in re.split(r"(?<=[.!?])[\x20\x09-\x0d]+|\n", text) if WORDS.search(s)]
 
