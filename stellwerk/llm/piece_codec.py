@@ -32,7 +32,9 @@ from stellwerk.llm import columnar
 REMEMBERED = 500_000
 SLICE_BYTES = 3 << 20
 # Characters of new words matched at a time; each has several edges.
-ROUND = 1 << 18
+ROUND = 1 << 19
+# Places of a worker's table of pairs of pieces.
+ANSWERS = 1 << 21
 _BREAK = chr(0x10FFFF)  # between words; a noncharacter
 _BLANK = "▁"
 _START, _NONE = -1, -2
@@ -74,7 +76,8 @@ class Vocabulary:
             points = np.frombuffer(self.pieces[k].encode("utf-32-le"), np.uint32)
             self.matrix[row, : len(points)] = points
         self.lengths = np.array([len(self.pieces[k]) for k in reachable])
-        self._joins: dict[int, bool] = {}
+        self._edges: tuple[dict, dict] = ({}, {})
+        self._asked, self._answers = np.full(ANSWERS, -1, np.int64), np.zeros(ANSWERS, bool)
 
     def merged(self, word: str) -> tuple[list[str], tuple[int, int] | None]:
         """Merge pairs of the word one after another, the best pair first, of equal ones the left one; the pieces,
@@ -103,12 +106,16 @@ class Vocabulary:
 
     def _edge(self, piece: int, side: int) -> list[tuple[str, float]]:
         """The parts of a piece along one side, each with the place in the merge order at which it is used up."""
-        found, until = [], float("inf")
-        while True:
-            found.append((self.pieces[piece], until))
-            if self.parts[piece] is None:
-                return found
-            until, piece = piece, self.parts[piece][side]
+        known = self._edges[side].get(piece)
+        if known is None:
+            known, until, part = [], float("inf"), piece
+            while True:
+                known.append((self.pieces[part], until))
+                if self.parts[part] is None:
+                    break
+                until, part = part, self.parts[part][side]
+            self._edges[side][piece] = known
+        return known
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two pieces stay apart: no parts at their boundary are merged before either is used up."""
@@ -120,15 +127,17 @@ class Vocabulary:
         return True
 
     def all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, where = np.unique(left.astype(np.int64) * len(self.pieces) + right, return_inverse=True)
-        known, n = self._joins, len(self.pieces)
-        values = np.empty(len(keys), bool)
-        for i, key in enumerate(keys.tolist()):
-            value = known.get(key)
-            if value is None:
-                value = known[key] = self.apart(*divmod(key, n))
-            values[i] = value
-        return values[where]
+        """``apart`` of many pairs; a pair's place in the table of answers holds the last pair asked for there."""
+        keys = left.astype(np.int64) * len(self.pieces) + right
+        place = (columnar.mix(keys.view(np.uint64)) % np.uint64(ANSWERS)).astype(np.int64)
+        new = self._asked[place] != keys
+        values = self._answers[place]
+        if new.any():
+            pairs, where = np.unique(keys[new], return_inverse=True)
+            found = np.fromiter((self.apart(*divmod(k, len(self.pieces))) for k in pairs.tolist()), bool, len(pairs))
+            values[new] = found[where]
+            self._asked[place[new]], self._answers[place[new]] = keys[new], values[new]
+        return values
 
     def to_ids(self, symbols: list[str]) -> np.ndarray:
         out = []
@@ -140,37 +149,55 @@ class Vocabulary:
 
 def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
     """Places ordered by what follows them, compared over ``depth`` characters at least."""
-    _, rank = np.unique(points, return_inverse=True)
-    step = 1
+    kinds, rank = np.unique(points, return_inverse=True)
+    # As many characters at once as fit a number.
+    step, base, rank = 1, len(kinds) + 1, rank + 1
+    while step < depth and base**2 < 1 << 62:
+        rank = rank * base + _after(rank, step)
+        step, base = 2 * step, base**2
     while step < depth:
-        after = np.zeros(len(rank), np.int64)
-        after[:-step] = rank[step:] + 1
-        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)
+        _, rank = np.unique(rank, return_inverse=True)
+        rank = rank * (len(rank) + 1) + _after(rank + 1, step)
         step *= 2
     return np.argsort(rank, kind="stable")
 
 
+def _after(rank: np.ndarray, step: int) -> np.ndarray:
+    """The ranks ``step`` places later, 0 beyond the end."""
+    return np.append(rank[step:], np.zeros(min(step, len(rank)), rank.dtype))
+
+
 def occurrences(points: np.ndarray, order: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every piece the range of the suffix array that begins with it, by bisection."""
     padded = np.append(points, np.zeros(matrix.shape[1], np.uint32))
     column = np.arange(matrix.shape[1])
-    ends = []
-    for beyond in (False, True):
-        low, high = np.zeros(len(matrix), np.int64), np.full(len(matrix), len(order))
-        while (active := np.flatnonzero(low < high)).size:
-            middle = (low[active] + high[active]) // 2
-            seen = padded[order[middle][:, None] + column]
-            wanted = matrix[active]
-            differs = (seen != wanted) & (column < lengths[active][:, None])
-            first = differs.argmax(axis=1)
-            row = np.arange(len(active))
-            equal = ~differs[row, first]
-            smaller = ~equal & (seen[row, first] < wanted[row, first])
-            right = smaller | equal if beyond else smaller
-            low[active[right]] = middle[right] + 1
-            high[active[~right]] = middle[~right]
-        ends.append(low)
-    return ends[0], ends[1]
+
+    def compared(pieces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether what stands there begins with the piece, and whether it is smaller."""
+        seen, wanted = padded[order[at][:, None] + column], matrix[pieces]
+        differs = (seen != wanted) & (column < lengths[pieces][:, None])
+        first, row = differs.argmax(axis=1), np.arange(len(pieces))
+        equal = ~differs[row, first]
+        return equal, ~equal & (seen[row, first] < wanted[row, first])
+
+    low, high = np.zeros(len(matrix), np.int64), np.full(len(matrix), len(order))
+    while (active := np.flatnonzero(low < high)).size:
+        middle = (low[active] + high[active]) // 2
+        _, right = compared(active, middle)
+        low[active[right]] = middle[right] + 1
+        high[active[~right]] = middle[~right]
+    begin, end = low, low.copy()
+    some = np.flatnonzero(low < len(order))
+    some = some[compared(some, low[some])[0]]  # pieces that occur at all
+    low, high = begin[some] + 1, np.full(len(some), len(order))
+    while (active := np.flatnonzero(low < high)).size:
+        middle = (low[active] + high[active]) // 2
+        equal, smaller = compared(some[active], middle)
+        right = equal | smaller
+        low[active[right]] = middle[right] + 1
+        high[active[~right]] = middle[~right]
+    end[some] = low
+    return begin, end
 
 
 def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
@@ -216,7 +243,7 @@ def _matched(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
     piece = np.append(piece, np.full(len(unknown), len(vocabulary.pieces), np.int32))
     word_begin = np.repeat(begins.astype(np.int32), sizes + 1)
     place = start + length - word_begin[start]
-    by_place = np.argsort(place, kind="stable")
+    by_place = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
     start, length, piece, place = start[by_place], length[by_place], piece[by_place], place[by_place]
     last, came = np.full(len(points) + 1, _NONE), np.zeros(len(points) + 1, np.int64)
     last[begins] = _START
@@ -231,7 +258,7 @@ def _matched(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
         end = s[good] + length[a:b][good]
         last[end], came[end] = p[good], s[good]
     # Back from the ends of all words at once.
-    ids = np.append(vocabulary.ids, -1)
+    ids = np.append(vocabulary.ids, np.int32(-1))
     at, steps = begins + sizes, []
     word = np.arange(len(simple))
     while len(word):
@@ -250,8 +277,8 @@ def _matched(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
         own = found[bounds[k] : bounds[k + 1]]
         if k in missing:
             parts = [[v] if v >= 0 else [vocabulary.byte_ids[b] for b in chr(points[p]).encode("utf-8")] for v, p in zip(own, places[bounds[k] : bounds[k + 1]])]
-            own = np.array([v for part in parts for v in part])
-        out[i] = own.astype(np.int32)
+            own = np.array([v for part in parts for v in part], np.int32)
+        out[i] = own
     return out
 
 
