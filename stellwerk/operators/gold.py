@@ -7,6 +7,7 @@ joining the dimensions: no shuffle of the fact rows, and the unknown company can
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +82,8 @@ def default_calendar_end(as_of: dt.date) -> dt.date:
     return as_of + dt.timedelta(days=30)
 
 
-def build_fact_jobs(staging: DataFrame, dim_company: DataFrame) -> DataFrame:
-    """Postings with foreign keys.
+def build_fact_jobs(staging: DataFrame, dim_company: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Postings with foreign keys; further staging columns named in ``keep`` pass through.
 
     A posting that names a company finds it in the dimension by construction. One without a company
     points to the unknown company if that row exists, else to nothing: a join against that single
@@ -100,11 +101,11 @@ def build_fact_jobs(staging: DataFrame, dim_company: DataFrame) -> DataFrame:
             F.when(F.col("company").isNotNull(), company_id(F.col("__company_key"))).otherwise(F.col("__unknown_id")),
         )
         .withColumn("location_id", location_id(city, state, region))
-        .select(*FACT_JOBS)
+        .select(*FACT_JOBS, *keep)
     )
 
 
-def build_fact_skills(staging: DataFrame) -> DataFrame:
+def build_fact_skills(staging: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per posting and skill with the number of mentions in its skill array.
 
     Staging holds each job id once, so the count is a per-row computation and needs no shuffle.
@@ -116,7 +117,7 @@ def build_fact_skills(staging: DataFrame) -> DataFrame:
             F.size(F.filter("skills", lambda other: other == skill)).cast("bigint").alias("weight"),
         ),
     )
-    return staging.select("job_id", F.explode(weighted).alias("s")).select("job_id", "s.skill", "s.weight")
+    return staging.select("job_id", *keep, F.explode(weighted).alias("s")).select("job_id", "s.skill", "s.weight", *keep)
 
 
 def build_gold(staging: DataFrame, calendar_end: dt.date | str) -> dict[str, DataFrame]:

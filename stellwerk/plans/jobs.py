@@ -4,26 +4,25 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellwerk.operators.dedup import staging
-from stellwerk.operators.gold import build_gold, default_calendar_end
+from stellwerk.operators.gold import default_calendar_end
 from stellwerk.operators.quality import quality_report
 from stellwerk.operators.silver import bronze_to_silver
 from stellwerk.operators.skills import STANDARD_TAXONOMY, Skill
-from stellwerk.operators.validate import checked, null_negative_salary, run_report, split_checked
-from stellwerk.session import checkpoint_root
+from stellwerk.operators.validate import checked, ingest_report, null_negative_salary, page_accounts, split_checked
+from stellwerk.plans import gold_upkeep
+from stellwerk.plans.scratch import written_once
 from stellwerk.sources import lake
 from stellwerk.sources.adapters import ADAPTERS
 from stellwerk.sources.landing import read_landing
 from stellwerk.sources.unify import filter_categories, parse_source_list, with_keys
 
 
-BRONZE, QUARANTINE = "bronze/postings", "bronze/quarantine"
+BRONZE, QUARANTINE, PAGES = "bronze/postings", "bronze/quarantine", "bronze/pages"
 SILVER, GOLD = "silver/postings", "gold"
 
 
@@ -36,26 +35,15 @@ def adapt(landing: Mapping[str, DataFrame], categories: Sequence[str] | None = N
     return with_keys(null_negative_salary(checked(reduce(DataFrame.unionByName, postings))))
 
 
-@contextmanager
-def written_once(rows: DataFrame, name: str) -> Iterator[DataFrame]:
-    """Rows that several tables are derived from, as files in the shared folder while they are needed."""
-    spark = rows.sparkSession
-    folder = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    try:
-        rows.write.option("compression", "zstd").parquet(folder)
-        yield spark.read.schema(rows.schema).parquet(folder)
-    finally:
-        lake.drop_folder(spark, folder)
-
-
 def store(
     rows: DataFrame, lake_root: str, run: str, run_day: dt.date | str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Write checked postings to bronze and quarantine."""
+    """Write checked postings to bronze and quarantine, and the accounts of the pages they came on."""
     valid, quarantine = split_checked(rows)
     if not valid.isEmpty():
         lake.write_bronze(valid, f"{lake_root}/{BRONZE}", run, run_day)
     lake.write_quarantine(quarantine, f"{lake_root}/{QUARANTINE}", run, run_day)
+    lake.write_pages(page_accounts(rows), f"{lake_root}/{PAGES}", run)
     return valid, quarantine
 
 
@@ -68,17 +56,18 @@ def ingest(
     categories: Sequence[str] | None = None,
     enabled: str | None = None,
 ) -> DataFrame:
-    """Landing files to bronze and quarantine; returns the run report, one row per board.
+    """Landing files to bronze and quarantine; returns the run report, one row per board asked, silent ones included.
 
     ``enabled`` is a comma list of boards to take; None takes all that have a path.
     """
     wanted = parse_source_list(enabled)
-    landing = {s: read_landing(spark, s, path) for s, path in landing_paths.items() if s in wanted}
+    landing = {s: read_landing(spark, s, path, pages=True) for s, path in landing_paths.items() if s in wanted}
     if not landing:
         raise ValueError("none of the enabled boards has a landing path")
+    run = run or uuid.uuid4().hex
     with written_once(adapt(landing, categories), "ingest") as rows:
-        report = run_report(*store(rows, lake_root, run or uuid.uuid4().hex, run_day))
-        return spark.createDataFrame(report.collect(), report.schema)
+        store(rows, lake_root, run, run_day)
+    return ingest_report(lake.read_pages(spark, f"{lake_root}/{PAGES}", run), list(landing))
 
 
 def refresh_silver(
@@ -90,22 +79,24 @@ def refresh_silver(
     taxonomy: Sequence[Skill] = STANDARD_TAXONOMY,
     days: Sequence[dt.date | str] | None = None,
 ) -> None:
-    """Rebuild silver for a range of days in one job; each day is deduplicated on its own."""
+    """Rebuild silver for a range of days in one job; each day is deduplicated on its own.
+
+    A day of the range that has no bronze rows (any more) has no silver afterwards.
+    """
     bronze = lake.read_bronze_days(spark, f"{lake_root}/{BRONZE}", first, last, categories, days)
-    lake.write_silver(bronze_to_silver(bronze, taxonomy), f"{lake_root}/{SILVER}")
+    wanted = lake.days_between(first, last, days)
+    lake.write_silver(bronze_to_silver(bronze, taxonomy), f"{lake_root}/{SILVER}", wanted)
 
 
-def refresh_gold(spark: SparkSession, lake_root: str, calendar_end: dt.date | str | None = None) -> dict[str, DataFrame]:
-    """Rebuild the star schema from all silver days.
+def refresh_gold(
+    spark: SparkSession, lake_root: str, calendar_end: dt.date | str | None = None, full: bool = False
+) -> dict[str, DataFrame]:
+    """Bring the star schema in line with the silver days that changed since the last run (``gold_upkeep``).
 
-    Staging feeds four tables, so it is written once to the shared folder: a lost executor costs a
-    re-read, not the deduplication again. The copy is dropped when the tables are written.
+    All tables change in one step. ``full`` builds them from all days.
     """
     end = default_calendar_end(dt.date.today()) if calendar_end is None else calendar_end
-    silver = lake.located(lake.read_silver(spark, f"{lake_root}/{SILVER}"))
-    with written_once(staging(silver), "staging") as staged:
-        lake.write_gold(build_gold(staged, end), f"{lake_root}/{GOLD}")
-    return lake.read_gold(spark, f"{lake_root}/{GOLD}")
+    return gold_upkeep.refresh(spark, f"{lake_root}/{SILVER}", f"{lake_root}/{GOLD}", end, full)
 
 
 def run_day(

@@ -56,13 +56,38 @@ _POSTING_FIELDS = [
     T.StructField("fetched_at", T.TimestampType()),
 ]
 
-# What an adapter yields: the posting, the page it came from and its raw record.
+PAGE_INFO = T.StructType(
+    [
+        T.StructField("hits", T.LongType()),
+        T.StructField("total", T.LongType()),
+        T.StructField("abort_reason", T.StringType()),
+    ]
+)
+
+# What an adapter yields: the posting, the page it came from and its raw record, or the account of a page.
 RAW = T.StructType(
     _POSTING_FIELDS
     + [
         T.StructField("page", T.IntegerType()),
         T.StructField("record", T.StringType()),
         T.StructField("intact", T.BooleanType()),
+        T.StructField("page_info", PAGE_INFO),
+    ]
+)
+
+# One row per board, search and page of a run.
+PAGES = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("search_category", T.StringType()),
+        T.StructField("page", T.IntegerType()),
+        T.StructField("pages", T.LongType()),
+        T.StructField("hits", T.LongType()),
+        T.StructField("total", T.LongType()),
+        T.StructField("loaded", T.LongType()),
+        T.StructField("valid", T.LongType()),
+        T.StructField("abort_reason", T.StringType()),
+        T.StructField("run", T.StringType()),
     ]
 )
 

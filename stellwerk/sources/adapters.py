@@ -56,8 +56,9 @@ def _first_of(text: Column) -> Column:
 
 
 def _project(landing: DataFrame, fields: str, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
-    """Parse and project. Records that are no JSON objects stay, with empty columns, for validation."""
+    """Parse and project. Records that are no JSON objects, and accounts of pages, stay with empty columns."""
     meta = ["source", "search_category", "fetched_at", "page", "record", "intact"]
+    meta += ["page_info"] if "page_info" in landing.columns else []
     parsed = landing.select(*meta, F.from_json("record", fields).alias("r"))
     if keep is not None:
         # A filter would be pushed below the parsing and parse every record a second time.

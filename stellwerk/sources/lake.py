@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.functions.moments import day_literal
 from stellwerk.operators.dedup import LOCATOR
-from stellwerk.schemas import BRONZE, BRONZE_PARTITIONS, QUARANTINE, SILVER
+from stellwerk.schemas import BRONZE, BRONZE_PARTITIONS, PAGES, QUARANTINE, SILVER
+from stellwerk.sources import versions
+from stellwerk.sources.versions import drop_folder, file_system  # noqa: F401
 
 GOLD_TABLES = ["fact_jobs", "fact_skills", "dim_company", "dim_location", "dim_date"]
 
@@ -68,6 +70,23 @@ def write_quarantine(df: DataFrame, root: str, run: str, run_day: dt.date | str
     return True
 
 
+def write_pages(accounts: DataFrame, root: str, run: str) -> None:
+    """Accounts of a run's pages; repeating the run replaces them."""
+    rows = accounts.withColumn("run", F.lit(run)).select(*PAGES.fieldNames())
+    (
+        _balanced(rows)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .parquet(root)
+    )
+
+
+def read_pages(spark: SparkSession, root: str, run: str | None = None) -> DataFrame:
+    pages = spark.read.schema(PAGES).parquet(root)
+    return pages if run is None else pages.where(F.col("run") == run)
+
+
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(QUARANTINE).json(root)
 
@@ -83,8 +102,7 @@ def read_bronze(spark: SparkSession, root: str) -> DataFrame:
 
 def _day_folders(spark: SparkSession, root: str, days: Sequence[dt.date]) -> list[str]:
     """The boards' folders of the given days; only these are listed, however old the lake is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, system = file_system(spark, root)
     found = []
     for day in days:
         pattern = f"{root}/source=*/year={day:%Y}/month={day:%m}/day={day:%d}"
@@ -98,6 +116,18 @@ def located(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
 
 
+def days_between(
+    first: dt.date | str, last: dt.date | str | None = None, days: Sequence[dt.date | str] | None = None
+) -> list[dt.date]:
+    """The days ``first`` to ``last``, both included, or those of ``days`` among them."""
+    low, high = (d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in (first, first if last is None else last))
+    wanted = [low + dt.timedelta(n) for n in range((high - low).days + 1)]
+    if days is not None:
+        chosen = {d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in days}
+        wanted = [d for d in wanted if d in chosen]
+    return wanted
+
+
 def read_bronze_days(
     spark: SparkSession,
     root: str,
@@ -110,12 +140,7 @@ def read_bronze_days(
 
     ``days`` names the wanted days inside that range one by one.
     """
-    low, high = (d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in (first, first if last is None else last))
-    wanted = [low + dt.timedelta(n) for n in range((high - low).days + 1)]
-    if days is not None:
-        chosen = {d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in days}
-        wanted = [d for d in wanted if d in chosen]
-    folders = _day_folders(spark, root, wanted)
+    folders = _day_folders(spark, root, days_between(first, last, days))
     if folders:
         rows = located(spark.read.schema(BRONZE).option("basePath", root).parquet(*folders))
     else:
@@ -131,8 +156,13 @@ def read_bronze_day(
     return read_bronze_days(spark, root, day, day, categories)
 
 
-def write_silver(df: DataFrame, root: str) -> None:
-    """Replace exactly the days that occur in ``df``; other days stay. Re-runs give the same result."""
+def write_silver(df: DataFrame, root: str, days: Sequence[dt.date | str] | None = None) -> None:
+    """Replace exactly the days that occur in ``df``; other days stay. Re-runs give the same result.
+
+    ``days`` names the days that are meant: those of them without a row in ``df`` are emptied.
+    """
+    spark = df.sparkSession
+    before = {} if days is None else silver_days(spark, root, days)
     (
         _balanced(df.select(*SILVER.fieldNames()), "run_day")
         .write.mode("overwrite")
@@ -141,6 +171,26 @@ def write_silver(df: DataFrame, root: str) -> None:
         .partitionBy("run_day")
         .parquet(root)
     )
+    # Written days have new files; a day whose files are the old ones got no row.
+    for day, files in silver_days(spark, root, before).items() if before else ():
+        if files == before[day]:
+            drop_folder(spark, f"{root}/run_day={day}")
+
+
+def silver_days(spark: SparkSession, root: str, days: Iterable[dt.date | str] | None = None) -> dict[str, int]:
+    """The stored days (of those given), each with a fingerprint of its files, which changes with every write.
+
+    Files are listed by Spark and their contents not read; one row for each day comes back.
+    """
+    path, system = file_system(spark, root)
+    folders = [f"{root}/run_day=*"] if days is None else [f"{root}/run_day={day}" for day in days]
+    folders = [f for f in folders if len(system.globStatus(path(f)) or [])]
+    if not folders:
+        return {}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders)
+    day = F.regexp_extract("path", "/run_day=([^/]*)/[^/]*$", 1)
+    sums = files.groupBy(day.alias("day")).agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("files"))
+    return {row["day"]: row["files"] for row in sums.collect()}
 
 
 def write_silver_day(df: DataFrame, root: str, day: dt.date | str) -> None:
@@ -166,16 +216,13 @@ def silver_day_exists(spark: SparkSession, root: str, day: dt.date | str) -> boo
 
 
 def write_gold(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Full refresh of the star schema."""
-    for name, table in tables.items():
-        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}")
+    """Full refresh of the star schema: all tables change in one step, and a failed write changes none."""
+    versions.write_version(next(iter(tables.values())).sparkSession, root, tables)
 
 
 def read_gold(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{name}") for name in GOLD_TABLES}
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Remove an intermediate table of our own."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """The star schema of one version; readers keep it while the next one is written."""
+    snapshot = versions.current(spark, root)
+    if snapshot is None:
+        raise FileNotFoundError(f"no gold tables below {root}")
+    return {name: versions.read_table(spark, root, snapshot, name) for name in GOLD_TABLES}

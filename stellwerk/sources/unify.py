@@ -50,9 +50,12 @@ def filter_sources(df: DataFrame, enabled: str | Sequence[str] | None) -> DataFr
 def filter_categories(df: DataFrame, wanted: Sequence[str] | None) -> DataFrame:
     """Only the wanted search categories; none given keeps all.
 
-    Landing lines that could not be read have no category and stay, to be quarantined.
+    Landing lines that could not be read have no category and stay, to be quarantined; a broken posting of
+    another category goes with its page.
     """
     if not wanted:
         return df
     keep = F.coalesce(F.col("search_category").isin(list(wanted)), F.lit(False))
-    return df.where(keep | ~F.col("intact") if "intact" in df.columns else keep)
+    if "intact" not in df.columns:
+        return df.where(keep)
+    return df.where(keep | (~F.col("intact") & F.col("search_category").isNull()))
