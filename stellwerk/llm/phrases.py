@@ -37,6 +37,8 @@ SLICE = 4 << 20
 # Entries of a task's filter before it is handed on, and of a shard at most, as an average.
 ENTRIES = 1 << 20
 SHARD = 1 << 19
+# Parts of a language that are ranked apart.
+PARTS = 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[ord(c) for c in " \t"]] = True
@@ -231,6 +233,10 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, most: int
         "lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a",
         F.when(late["score"] < early["score"], late).otherwise(early).alias("cut"),
     )
-    ranking = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(ranking).cast("bigint")).where(F.col("rank") <= most)
+    # The first phrases of parts of a language, then of these: one language is no task's whole work.
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    of_part, of_lang = (Window.partitionBy(*keys).orderBy(*order) for keys in (["lang", "part"], ["lang"]))
+    some = two.unionByName(three).withColumn("part", part).withColumn("rank", F.row_number().over(of_part)).where(F.col("rank") <= most)
+    ranked = some.withColumn("rank", F.row_number().over(of_lang).cast("bigint")).where(F.col("rank") <= most)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
