@@ -6,8 +6,7 @@ text's n-grams times its inverse document frequency, which counts all training d
 the follow-the-regularised-leader rule with L1 and L2 penalties, on a bounded sample of the training
 documents; on every fifth of these a temperature is fitted, so that scores are probabilities.
 
-``fit`` bounds: about ``per_language`` documents (1,000) of each of at most ``languages`` (200) most frequent
-languages, drawn by a hash of doc_id. Everything else covers all rows and whole texts.
+``fit`` bounds: about ``per_language`` documents (1,000) of each language, drawn by a hash of doc_id; every language is learned. Everything else covers all rows and whole texts.
 
 A text that is null or has no letter is ``und`` with score 0. Training rows without text or language are left
 out; without any training row every text is ``und``. A null doc_id counts as empty text for the split.
@@ -174,11 +173,14 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return min(np.geomspace(0.05, 5, 201), key=loss)
 
 
-def fit(docs: DataFrame, per_language: int = 1000, languages: int = 200) -> Model:
-    """Learn from ``text`` and ``lang`` of the rows that are not held out."""
+def fit(docs: DataFrame, per_language: int = 1000) -> Model:
+    """Learn from ``text`` and ``lang`` of the rows that are not held out.
+
+    Every non-null value of ``lang`` is a class, so the model grows with their number. Without any the model is empty.
+    """
     rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("place"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     counted = rows.select("text").mapInArrow(_document_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -227,6 +229,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is recognised with a score of ``least`` or more."""
-    found = identify(docs, fit(docs))
+    """The documents whose language is recognised with a score of ``least`` or more.
+
+    Where no row tells a language there is nothing to recognise: then all documents with a letter stay.
+    """
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").cast("string").rlike("\\p{L}"))
+    found = identify(docs, model)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -7,6 +7,9 @@ Each line of a text is judged by itself. A line with a word fails as
 * navigation: it has two " | " separators or more, ends in "|", or is a trail of " > " or " » " steps;
 * boilerplate: it holds one of the fixed phrases of cookie, script and subscription notices.
 
+"!!", navigation and boilerplate count in lines of ``SHORT_LINE`` (200) characters at most: an article on one long line that
+mentions a notice once is no notice.
+
 Lines that fail are removed. A document is rejected if more than half of its word characters go with
 them, or by the base rule: fewer than 50 words, or more than half of its words in repeated three-word
 windows. Lines without a word are neither judged nor counted, and stay where they are.
@@ -46,6 +49,9 @@ SYMBOLS = "[^#*$%&|<>]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+# Menus, notices and cries are short; a longer line is a text that may mention one.
+SHORT_LINE = 200
+
 # Bits for the place of a word in a sort key; longer texts are sorted by structs.
 PLACE_BITS = 24
 
@@ -55,9 +61,10 @@ def _length_left(text: Column, removed: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is removed (null for none)."""
+    """Whether a line is removed (null for none). Signs of navigation and boilerplate count in short lines only."""
     letters = F.char_length(F.regexp_replace(line, "[^A-Za-z]+", ""))
-    shouting = (F.contains(line, F.lit("!!")) & line.rlike("(?s)!!.*!!")) | (~line.rlike("[a-z]") & (letters >= 20))
+    cries = F.contains(line, F.lit("!!")) & line.rlike("(?s)!!.*!!")
+    capitals = ~line.rlike("[a-z]") & (letters >= 20)
     symbols = _length_left(line, SYMBOLS) * 10 > F.char_length(line)
     bars = F.contains(line, F.lit("|")) & line.rlike("(?s) \\| .* \\| |\\|[\\x20\\x09-\\x0D]*\\z")
     trail = line.rlike("(?s) [>»] .* [>»] ")
@@ -65,7 +72,7 @@ def line_fails(line: Column) -> Column:
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(small, F.lit(phrase))
-    return symbols | shouting | bars | trail | boilerplate
+    return symbols | capitals | ((F.char_length(line) <= SHORT_LINE) & (cries | bars | trail | boilerplate))
 
 
 def _window(words: Column, i: Column) -> Column:

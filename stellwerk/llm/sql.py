@@ -1,19 +1,20 @@
 """SQL counterparts of the training-data queries, where SQL can express them."""
 
-from stellwerk.llm.quality_rules import BOILERPLATE
+from stellwerk.llm.quality_rules import BOILERPLATE, SHORT_LINE
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 _LINE_FAILS = f"""(
     length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) * 10 > length(l)
-    OR l LIKE '%!!%!!%'
     OR (length(regexp_replace(l, '[^A-Za-z]', '', 'g')) >= 20
         AND NOT regexp_matches(l, '[a-z]'))
-    OR regexp_matches(l, '(?s) \\| .* \\| ')
-    OR regexp_matches(l, '\\|[\\x20\\x09-\\x0D]*\\z')
-    OR regexp_matches(l, '(?s) [>»] .* [>»] ')
-    OR {" OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)}
+    OR (length(l) <= {SHORT_LINE} AND (
+        l LIKE '%!!%!!%'
+        OR regexp_matches(l, '(?s) \\| .* \\| ')
+        OR regexp_matches(l, '\\|[\\x20\\x09-\\x0D]*\\z')
+        OR regexp_matches(l, '(?s) [>»] .* [>»] ')
+        OR {" OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)}))
 )"""
 
 QUALITY = f"""
