@@ -193,3 +193,62 @@ def landing_lines(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
             F.lit("}"),
         ).alias("value")
     )
+
+
+# Boards that no order priority stands for get the order lines of one number.
+BOARD_LINES = {"arbeitnow": 1, "jooble": 2, "jsearch": 4, "remoteok": 6}
+# What a board promises for this search is more than it sends.
+PROMISED = ("PROMO", 1_000_000)
+EMPTY_PAGE, ABORT = ("jobicy", 99), ("jsearch", 98, "Quota")
+
+
+def board_rows(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """What a board sends. Line 5 has no posting date: its ties are settled by hashes of the content, which SQL lacks."""
+    rows = bronze(spark, sf_dir).where("l_linenumber <> 5")
+    return rows.where(F.col("l_linenumber") == BOARD_LINES[source] if source in BOARD_LINES else F.col("source") == source)
+
+
+def _answer(source: str, items: Column, total: Column) -> Column:
+    """A response around its postings, with the total where the board tells one."""
+    from stellwerk.sources.landing import ENVELOPES, TOTALS
+
+    body = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    if ENVELOPES[source]:
+        *outer, last = ENVELOPES[source].split(".")
+        body = F.concat(F.lit(f'"{last}":'), body)
+        beside = TOTALS.get(source, ("", 1))[0].split(".")
+        if beside != [""]:
+            told = F.concat(F.lit(f'"{beside[-1]}":'), total.cast("string"))
+            for name in reversed(beside[:-1]):
+                told = F.concat(F.lit('"' + name + '":{'), told, F.lit("}"))
+            body = F.concat(told, F.lit(","), body)
+        for name in reversed(outer):
+            body = F.concat(F.lit('"' + name + '":{'), body, F.lit("}"))
+        body = F.concat(F.lit("{"), body, F.lit("}"))
+    return body
+
+
+def landing_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """``run_day, value``: one board's answers as landing lines, by search, day and page, with empty pages and an abort."""
+    page = F.col("l_linenumber") + 10 * (F.col("l_partkey") % 5)
+    pages = board_rows(spark, sf_dir, source).groupBy("search_category", "run_day", page.cast("int").alias("page")).agg(
+        F.collect_list(_record(source)).alias("items")
+    )
+    total = F.when(F.col("search_category") == PROMISED[0], F.lit(PROMISED[1])).otherwise(F.size("items"))
+    lines = pages.select("search_category", "run_day", "page", _answer(source, F.col("items"), total).alias("body"))
+    meta = [
+        F.lit('{"search_category":"'), F.col("search_category"), F.lit('","page":'), F.col("page").cast("string"), F.lit(',"fetched_at":"'),
+        F.date_format(F.col("run_day").cast("timestamp") + F.make_interval(hours=F.col("page") % 10), _MOMENT), F.lit('Z",'),
+    ]
+    text = [*meta, F.lit('"body":'), F.col("body"), F.lit("}")]
+    found = lines.select("run_day", F.concat(*text).alias("value"))
+    extra = pages.select("search_category", F.lit("1998-01-01").cast("date").alias("run_day")).distinct()
+    if source == EMPTY_PAGE[0]:
+        none = _answer(source, F.array().cast("array<string>"), F.lit(0))
+        empty = extra.select("search_category", "run_day", F.lit(EMPTY_PAGE[1]).alias("page"), none.alias("body"))
+        found = found.unionByName(empty.select("run_day", F.concat(*text).alias("value")))
+    if source == ABORT[0]:
+        stop = extra.where(F.col("search_category") == PROMISED[0]).select("*", F.lit(ABORT[1]).alias("page"))
+        stopped = F.concat(*meta, F.lit(f'"abort_reason":"{ABORT[2]}"' + "}"))
+        found = found.unionByName(stop.select("run_day", stopped.alias("value")))
+    return found

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract import fixtures as fx
-from contract.landing_fixtures import landing, landing_lines
+from contract.landing_fixtures import landing, landing_lines, landing_pages
 from stellwerk.functions import keys
 from stellwerk.functions.text import norm_text
 from stellwerk.operators import activity, dedup, metrics, quality, quota, silver, skills, validate, visits
 from stellwerk.operators import gold as star
 from stellwerk.operators.search import JobsFilter, matching_jobs, search, unseen_only
+from stellwerk.plans import gold_upkeep
 from stellwerk.plans import jobs as batch
+from stellwerk.plans.scratch import written_once
 from stellwerk.session import checkpoint_root
 from stellwerk.sources import lake
 from stellwerk.sources.adapters import ADAPTERS
@@ -638,3 +640,138 @@ def incremental(spark, sf_dir):
     return bronze.groupBy("source", "year").agg(
         F.count("*").alias("postings"), F.count_distinct("job_id").alias("job_ids")
     )
+
+
+def _once(spark, sf_dir, name: str, build: Callable[[str], None]) -> str:
+    """Root of a lake that several queries read, built once per session."""
+    key = (spark.sparkContext.applicationId, f"{name}:{fx._input_state(spark, sf_dir)}")
+    if key not in fx._written:
+        root = _fresh_lake(spark)
+        build(root)
+        fx._written[key] = root
+    return fx._written[key]
+
+
+_HALF = "1995-01-01"
+
+
+def _nine_boards(spark, sf_dir) -> str:
+    """Nine boards through the stream in two runs, and a third one that finds nothing new."""
+
+    def build(root: str) -> None:
+        pages = {source: landing_pages(spark, sf_dir, source) for source in ADAPTERS}
+        paths = {source: f"{root}/landing/{source}" for source in ADAPTERS}
+        for part in (F.col("run_day") <= _HALF, F.col("run_day") > _HALF, None):
+            if part is not None:
+                for source, rows in pages.items():
+                    rows.where(part).select("value").write.mode("append").text(paths[source])
+            run_incremental(spark, paths, root, fx.PART_LEXICON, fx.CALENDAR_END)
+
+    return _once(spark, sf_dir, "nine", build)
+
+
+@register("incremental_silver")
+def incremental_silver(spark, sf_dir):
+    """Silver of nine boards after incremental runs, row by row."""
+    rows = lake.read_silver(spark, f"{_nine_boards(spark, sf_dir)}/{batch.SILVER}")
+    return rows.select("run_day", "source", "dedup_key", "title", "company", naive("fetched_at"), naive("posted_at"))
+
+
+@register("incremental_gold")
+def incremental_gold(spark, sf_dir):
+    """Gold after the same runs: what each run brought up to date equals the facts of all days."""
+    tables = lake.read_gold(spark, f"{_nine_boards(spark, sf_dir)}/{batch.GOLD}")
+    return tables["fact_jobs"].select("source", "company_id", "location_id", "title", naive("fetched_at"), naive("posted_at"))
+
+
+@register("ingest_report")
+def ingest_report(spark, sf_dir):
+    """Counters of nine boards: empty pages, a silent board, an aborted one, promised and fetched postings."""
+    root = _fresh_lake(spark)
+    paths = {source: f"{root}/landing/{source}" for source in ADAPTERS}
+    for source in ADAPTERS:
+        rows = landing_pages(spark, sf_dir, source)
+        (rows.limit(0) if source == "remoteok" else rows).select("value").write.text(paths[source])
+    return batch.ingest(spark, paths, root, "run", fx.POSTINGS_AS_OF)
+
+
+def _observed(spark, sf_dir):
+    """Silver rows, some of which are seen again a year later: line 1 with another salary, line 4 under another title."""
+    rows = fx.silver(spark, sf_dir)
+    line = F.substring_index("source_id", "-", -1)
+    year = F.make_interval(years=F.lit(1))
+    again = rows.where(line.isin("1", "4")).withColumns(
+        {
+            "run_day": F.add_months("run_day", 12),
+            "fetched_at": F.col("fetched_at") + year,
+            "salary_mid": F.when(line == "1", F.col("salary_mid") + 1).otherwise(F.col("salary_mid")),
+            "title": F.when(line == "4", F.concat("title", F.lit(" II"))).otherwise(F.col("title")),
+            "title_norm": F.when(line == "4", F.concat("title_norm", F.lit(" ii"))).otherwise(F.col("title_norm")),
+        }
+    )
+    both = rows.unionByName(again)
+    return both.withColumns({c: F.col(c).cast("timestamp") for c in ("posted_at", "fetched_at")}).select(*lake.SILVER.fieldNames())
+
+
+def _kept_gold(spark, sf_dir) -> str:
+    """Gold over days that come, grow, change and go."""
+
+    def build(root: str) -> None:
+        silver, kept = f"{root}/{batch.SILVER}", f"{root}/{batch.GOLD}"
+        with written_once(_observed(spark, sf_dir), "observed") as rows:
+            day = F.col("run_day")
+            early = rows.where(day <= _HALF)
+            # A first state that is wrong in three ways: half of 1994, other titles in 1995, a day of its own.
+            wrong = early.where((F.year(day) != 1994) | (F.col("source") < "k")).withColumn(
+                "title_norm", F.when(F.year(day) == 1995, F.lit("?")).otherwise(F.col("title_norm"))
+            )
+            stray = early.withColumns({"run_day": F.lit("2005-01-01").cast("date"), "fetched_at": F.lit("2005-01-01").cast("timestamp")})
+            lake.write_silver(wrong.unionByName(stray.where("source = 'muse'")), silver)
+            gold_upkeep.refresh(spark, silver, kept, fx.CALENDAR_END, buckets=8)
+            lake.write_silver(early.where(F.year(day) >= 1994), silver, lake.days_between("2004-12-31", "2005-01-02"))
+            gold_upkeep.refresh(spark, silver, kept, fx.CALENDAR_END)
+            for late in (F.year(day) == 1996, F.year(day) > 1996):
+                lake.write_silver(rows.where(late), silver)
+                gold_upkeep.refresh(spark, silver, kept, fx.CALENDAR_END)
+
+    return _once(spark, sf_dir, "kept", build)
+
+
+@register("upkeep_fact_jobs")
+def upkeep_fact_jobs(spark, sf_dir):
+    """Facts after four updates, by job id."""
+    tables = lake.read_gold(spark, f"{_kept_gold(spark, sf_dir)}/{batch.GOLD}")
+    return tables["fact_jobs"].select(
+        "job_id", "source", "company_id", "location_id", "title", "salary_mid", naive("fetched_at"), joined("skills")
+    )
+
+
+@register("upkeep_fact_skills")
+def upkeep_fact_skills(spark, sf_dir):
+    return lake.read_gold(spark, f"{_kept_gold(spark, sf_dir)}/{batch.GOLD}")["fact_skills"]
+
+
+@register("upkeep_dimensions")
+def upkeep_dimensions(spark, sf_dir):
+    """Companies and places after the updates."""
+    tables = lake.read_gold(spark, f"{_kept_gold(spark, sf_dir)}/{batch.GOLD}")
+    place = F.concat_ws("|", "city", "state", "region")
+    return (
+        tables["dim_company"].select(F.lit("company").alias("kind"), F.col("company_id").alias("id"), F.col("company").alias("name"))
+        .unionByName(tables["dim_location"].select(F.lit("place").alias("kind"), F.col("location_id").alias("id"), place.alias("name")))
+    )
+
+
+@register("backfill_rows")
+def backfill_rows(spark, sf_dir):
+    """Silver rows after a backfill over days one of which has lost its bronze."""
+    stored = fx.bronze_lake(spark, sf_dir)
+    root = _fresh_lake(spark)
+    days = lake.read_bronze_days(spark, f"{stored}/{batch.BRONZE}", "1996-01-01", "1998-12-31")
+    lake.write_bronze(days.drop(*lake.LOCATOR), f"{root}/{batch.BRONZE}", "copy")
+    batch.backfill(spark, root, "1996-01-01", "1998-06-30", taxonomy=fx.PART_LEXICON)
+    for source in [row.source for row in days.select("source").distinct().collect()]:
+        lake.drop_folder(spark, f"{root}/{batch.BRONZE}/source={source}/year=1997")
+    batch.backfill(spark, root, "1997-01-01", "1998-01-01", taxonomy=fx.PART_LEXICON)
+    rows = lake.read_silver(spark, f"{root}/{batch.SILVER}")
+    return rows.select("run_day", "source", "dedup_key", "title", "company", naive("fetched_at"), naive("posted_at"), "category")

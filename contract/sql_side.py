@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from contract.fixtures import AS_OF, DOCUMENT_LEXICON, PART_LEXICON, POSTINGS_AS_OF, QUOTA_LIMITS, USER_AGENTS
+from contract.landing_fixtures import ABORT, BOARD_LINES, EMPTY_PAGE, PROMISED
 from stellwerk.operators.skills import STANDARD_TAXONOMY
 from stellwerk.schemas import SOURCES
+from stellwerk.sources.landing import TOTALS
 
 
 def _text(value: str) -> str:
@@ -763,3 +765,104 @@ _add(
     """SELECT job_id, source, source_id, title, fetched_at, '01' AS month, '01' AS day, 'a_m' AS category, run_day
 FROM bronze WHERE run_day = DATE '1997-01-01' AND search_category < 'M'""",
 )
+
+
+
+def _day_chain(table: str) -> str:
+    """The three rules of a day, with the jobs' own ties."""
+    latest = _first(table, "run_day, source, source_id", _RERUN_TIES)
+    batch = _first(f"({latest})", f"run_day, {_BATCH}", _RERUN_TIES)
+    return _first(f"({batch})", "run_day, dedup_key", f"source_priority DESC, {_RERUN_TIES}")
+
+
+_add(
+    "backfill_rows",
+    f"""SELECT run_day, source, dedup_key, title, company, fetched_at, posted_at, coalesce(category_label, category_tag) AS category
+FROM ({_day_chain("bronze")}) WHERE run_day IN (DATE '1996-01-01', DATE '1998-01-01')""",
+)
+
+# Nine boards: which rows a board sends, and what its adapter makes of them.
+_SEGMENTS = {
+    "adzuna": "CASE WHEN l_quantity < 30 THEN ['Welt', state, city] ELSE ['Welt', state, 'Kreis', city] END",
+    "bundesagentur": "list_filter([state, 'Welt', city], lambda x: x IS NOT NULL)",
+    "muse": "list_filter([nullif(split_part(location, ',', 1), '')], lambda x: x IS NOT NULL)",
+}
+_SENT_COLUMNS = "source_id title company city state region location posted_at".split()
+
+
+def _sent(source: str) -> str:
+    columns, kept = _ADAPTERS[source]
+    picked = ", ".join(f"{(_ADAPTED | columns)[name]} AS {name}" for name in _SENT_COLUMNS)
+    mine = f"l_linenumber = {BOARD_LINES[source]}" if source in BOARD_LINES else f"source = '{source}'"
+    return f"""SELECT '{source}' AS source, search_category, run_day, l_linenumber + 10 * (l_partkey % 5) AS page,
+       run_day + to_hours(CAST(l_linenumber AS BIGINT)) AS fetched_at, {picked}, {kept} AS kept,
+       {_SEGMENTS.get(source, "[]::VARCHAR[]")} AS segments FROM bronze WHERE {mine} AND l_linenumber <> 5"""
+
+
+_SENT = f""", sent AS MATERIALIZED (
+SELECT s.*, b.source_priority, {_KEY} AS dedup_key, coalesce(source_id, '') <> '' AND coalesce(title, '') <> '' AS valid
+FROM ({" UNION ALL BY NAME ".join(f"({_sent(source)})" for source in _ADAPTERS)}) s JOIN boards b USING (source))"""
+_RUNS = f"""{_SENT}, run_days AS MATERIALIZED (
+SELECT *, source || ':' || source_id AS job, lower(trim(title)) AS title_norm, {_COMPANY} AS company_norm
+FROM ({_day_chain("(SELECT * FROM sent WHERE kept AND valid)")}))"""
+_add("incremental_silver", f"{_RUNS} SELECT run_day, source, dedup_key, title, company, fetched_at, posted_at FROM run_days")
+_KEY_2 = "title_norm, coalesce(nullif(company_norm, ''), 'unbekannt')"
+_add(
+    "incremental_gold",
+    f"""{_RUNS}, newest AS MATERIALIZED ({_first("run_days", "job", _RERUN_TIES)}), facts AS MATERIALIZED ({_first("newest", _KEY_2, _RERUN_TIES)})
+SELECT source, title, fetched_at, posted_at,
+       CASE WHEN company_norm <> '' THEN md5(company_norm)
+            WHEN EXISTS (FROM facts blank WHERE blank.company = '') THEN md5('unbekannt') END AS company_id,
+       md5(concat_ws('|', coalesce(city, nullif(segments[3], ''), nullif(segments[2], ''), location, 'unbekannt'),
+                     coalesce(state, nullif(segments[2], ''), region, 'unbekannt'), coalesce(region, 'Deutschland'))) AS location_id
+FROM facts""",
+)
+
+_units = _values([(source, unit) for source, (_, unit) in TOTALS.items()])
+_add(
+    "ingest_report",
+    f"""{_SENT} SELECT b.source, coalesce(pages, 0)::BIGINT + CASE WHEN b.source = '{EMPTY_PAGE[0]}' THEN searches ELSE 0 END AS pages,
+       coalesce(loaded, 0)::BIGINT AS loaded, coalesce(valid, 0)::BIGINT AS valid,
+       coalesce(loaded - valid, 0)::BIGINT AS quarantined, b.source = '{ABORT[0]}' AS aborted,
+       CASE WHEN b.source = '{ABORT[0]}' THEN '{ABORT[2]}' END AS abort_reason, coalesce(categories, '') AS categories,
+       coalesce(hits, 0)::BIGINT AS hits, coalesce(estimated, 0)::BIGINT AS estimated, coalesce(cut, 0)::BIGINT AS cut
+FROM boards b LEFT JOIN (
+  SELECT source, sum(pages) AS pages, sum(hits) AS hits, sum(loaded) AS loaded, sum(valid) AS valid, count(*) AS searches,
+         string_agg(search_category, '|' ORDER BY search_category) AS categories, sum(total) AS estimated,
+         count(*) FILTER (WHERE hits < total) AS cut
+  FROM (SELECT source, search_category, count(*) AS pages, sum(hits) AS hits, sum(loaded) AS loaded, sum(valid) AS valid,
+               max(CASE WHEN unit IS NULL THEN hits WHEN search_category = '{PROMISED[0]}' THEN {PROMISED[1]} * unit ELSE hits * unit END) AS total
+        FROM (SELECT source, search_category, run_day, page, count(*) AS hits, count(*) FILTER (WHERE kept) AS loaded,
+                     count(*) FILTER (WHERE kept AND valid) AS valid
+              FROM sent WHERE source <> 'remoteok' GROUP BY ALL)
+        LEFT JOIN (VALUES {_units}) AS u(source, unit) USING (source)
+        GROUP BY source, search_category)
+  GROUP BY source) r USING (source)""",
+)
+
+# Silver rows of which some are seen again a year later.
+_OBSERVED = """SELECT * FROM silver UNION ALL BY NAME
+SELECT * REPLACE (CAST(run_day + INTERVAL 1 YEAR AS DATE) AS run_day, fetched_at + INTERVAL 1 YEAR AS fetched_at,
+       CASE WHEN source_id LIKE '%-1' THEN salary_mid + 1 ELSE salary_mid END AS salary_mid,
+       CASE WHEN source_id LIKE '%-4' THEN title || ' II' ELSE title END AS title,
+       CASE WHEN source_id LIKE '%-4' THEN title_norm || ' ii' ELSE title_norm END AS title_norm)
+FROM silver WHERE source_id LIKE '%-1' OR source_id LIKE '%-4'"""
+_SEEN = _first(f"({_first(f'({_OBSERVED})', 'job_id', _RERUN_TIES)})", _KEY_2, _RERUN_TIES)
+_add(
+    "upkeep_fact_jobs",
+    f"""SELECT job_id, source, title, salary_mid, fetched_at, array_to_string(skills, '|') AS skills,
+       CASE WHEN company_norm <> '' THEN md5(company_norm)
+            WHEN max(CASE WHEN company = '' THEN 1 ELSE 0 END) OVER () = 1 THEN md5('unbekannt') END AS company_id,
+       md5(concat_ws('|', coalesce(city, 'unbekannt'), coalesce(state, 'unbekannt'), coalesce(region, 'Deutschland'))) AS location_id
+FROM ({_SEEN})""",
+)
+_add("upkeep_fact_skills", f"SELECT job_id, skill, count(*) AS weight FROM (SELECT job_id, unnest(skills) AS skill FROM ({_SEEN})) GROUP BY ALL")
+_add(
+    "upkeep_dimensions",
+    f"""WITH seen AS ({_SEEN})
+SELECT 'company' AS kind, md5(key) AS id, min(company) AS name
+FROM (SELECT company, coalesce(nullif(company_norm, ''), 'unbekannt') AS key FROM seen WHERE company IS NOT NULL) GROUP BY key
+UNION ALL
+SELECT DISTINCT 'place', md5(name), name
+FROM (SELECT concat_ws('|', coalesce(city, 'unbekannt'), coalesce(state, 'unbekannt'), coalesce(region, 'Deutschland')) AS name FROM seen)""".replace("WITH seen AS", ", seen AS"),
+)
