@@ -89,8 +89,8 @@ def merge_activity(local: DataFrame, server: DataFrame) -> DataFrame:
 #
 # An entry is one of 16 states: bit 0 seen, bit 1 saved, bit 2 applied, bit 3 present. An action
 # maps states to states, and so does any run of actions; runs that follow each other compose. So a
-# long history is cut into time-ordered segments, each segment folded on its own, and the segment
-# results composed: no task needs the whole history of a key.
+# long history is cut into blocks in the order of time, each block folded on its own, and the results
+# composed step by step: no task needs the whole history of a key.
 
 _SEEN, _SAVED, _APPLIED, _PRESENT = 1, 2, 4, 8
 _STATE_COUNT = 16
@@ -116,47 +116,69 @@ def _identity() -> Column:
     return F.array(*[F.lit(i) for i in range(_STATE_COUNT)])
 
 
-def apply_actions(actions: DataFrame) -> DataFrame:
-    """Fold (username, job_id, ts, seq, action) into the resulting activity rows.
+# Actions folded at a time.
+BLOCK_ROWS = 4096
+_ROW_BITS = 33  # of monotonically_increasing_id: the row's place within its partition
 
-    Range partitioning by key and time spreads one key's history over many tasks and keeps each
-    task's part contiguous, so a segment is never larger than one shuffle partition, and a key has
-    at most as many segments as there are partitions. ``saved_at`` is the time of the first action
-    since the entry last came into being.
-    """
-    order = [F.col("ts"), F.col("seq")]
-    ranged = actions.repartitionByRange(*KEY, *order).withColumn("segment", F.spark_partition_id())
-    events = F.array_sort(F.collect_list(F.struct("ts", "seq", "action")))
-    segments = ranged.groupBy(*KEY, "segment").agg(events.alias("events")).select(
-        *KEY,
+
+def _later_first(first: Column, removes: Column, later: Column) -> Column:
+    """Time of the first action since the last removal, over what came before and a run after it."""
+    return F.when(removes, later).otherwise(F.coalesce(first, later))
+
+
+def _folded(blocks: DataFrame, moment) -> DataFrame:
+    """One run for the events of each block."""
+    empty = F.lit(None).cast(moment)
+    return blocks.select(
+        *[c for c in blocks.columns if c != "events"],
         F.struct(F.get("events", 0)["ts"].alias("ts"), F.get("events", 0)["seq"].alias("seq")).alias("at"),
         F.aggregate(
-            "events",
-            _identity(),
-            lambda states, event: F.transform(states, lambda s: _after(s, event["action"])),
+            "events", _identity(), lambda states, event: F.transform(states, lambda s: _after(s, event["action"]))
         ).alias("states"),
         F.exists("events", lambda e: e["action"] == REMOVE).alias("removes"),
-        # Actions after the segment's last removal.
+        # Actions after the block's last removal.
         F.aggregate(
-            "events",
-            F.lit(None).cast(actions.schema["ts"].dataType),
-            lambda first, event: F.when(event["action"] != REMOVE, F.coalesce(first, event["ts"])),
+            "events", empty, lambda first, e: F.when(e["action"] != REMOVE, F.coalesce(first, e["ts"]))
         ).alias("first_ts"),
     )
-    histories = segments.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("at", "states", "removes", "first_ts"))).alias("runs")
-    )
-    folded = histories.select(
-        *KEY,
-        F.aggregate("runs", F.lit(0), lambda state, run: F.get(run["states"], state)).alias("state"),
+
+
+def _composed(runs: DataFrame, keys: list[str], moment) -> DataFrame:
+    """One run for all runs of ``keys``, in the order of their first actions."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "states", "removes", "first_ts")))
+    return runs.groupBy(*keys).agg(ordered.alias("runs")).select(
+        *keys,
+        F.get("runs", 0)["at"].alias("at"),
+        F.aggregate("runs", _identity(), lambda states, run: F.transform(states, lambda s: F.get(run["states"], s))).alias("states"),
+        F.exists("runs", lambda run: run["removes"]).alias("removes"),
         F.aggregate(
-            "runs",
-            F.lit(None).cast(actions.schema["ts"].dataType),
-            lambda first, run: F.when(run["removes"], run["first_ts"]).otherwise(
-                F.coalesce(first, run["first_ts"])
-            ),
-        ).alias("saved_at"),
+            "runs", F.lit(None).cast(moment), lambda first, run: _later_first(first, run["removes"], run["first_ts"])
+        ).alias("first_ts"),
     )
+
+
+def apply_actions(actions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fold (username, job_id, ts, seq, action) into the resulting activity rows.
+
+    Range partitioning by key and time spreads one key's history over many tasks and keeps each task's part
+    contiguous. Sorted, a part is cut into blocks of ``block_rows`` actions, and each block becomes one map of the 16
+    states. Maps compose: those of a partition first, then those of a key, of which there is one per partition. So an
+    array never holds more than a block's actions or a partition's blocks, and one key with all rows needs no more memory
+    than any other. ``saved_at`` is the time of the first action since the entry last came into being.
+    """
+    order, moment = [F.col("ts"), F.col("seq")], actions.schema["ts"].dataType
+    place = F.col("place")
+    ranged = (
+        actions.repartitionByRange(*KEY, *order)
+        .sortWithinPartitions(*KEY, *order)
+        .withColumn("place", F.monotonically_increasing_id())
+        .withColumn("part", F.shiftright(place, _ROW_BITS))
+        .withColumn("block", F.floor(place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) / F.lit(block_rows)))
+    )
+    events = F.array_sort(F.collect_list(F.struct("ts", "seq", "action")))
+    runs = _folded(ranged.groupBy(*KEY, "part", "block").agg(events.alias("events")), moment)
+    whole = _composed(_composed(runs, [*KEY, "part"], moment), KEY, moment)
+    folded = whole.select(*KEY, F.get("states", 0).alias("state"), F.col("first_ts").alias("saved_at"))
     flags = [(_SEEN, SEEN), (_SAVED, SAVED), (_APPLIED, APPLIED)]
     status = F.array_compact(
         F.array(*[F.when(F.col("state").bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in flags])

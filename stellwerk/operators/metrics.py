@@ -7,6 +7,7 @@ one row per dimension entry instead of one per posting, whatever the skew.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -182,18 +183,31 @@ def new_jobs_per_day(jobs: DataFrame, days: int, as_of: dt.date | str) -> DataFr
 # ---- salary distribution -----------------------------------------------------------------------
 
 
+PLACE_GROUPS = ("city", "state")
+# Rank error of a KLL sketch, constant / k ** power, at 99 %.
+_KLL_CONSTANT, _KLL_POWER = 2.296, 0.9021
+
+
 def _salaries(gold: Gold, group: str) -> DataFrame:
-    """(grp, salary_mid) of every posting that has both."""
+    """(grp, salary_mid) of every posting that has both; ``group`` is a column of the facts."""
     if group not in DISTRIBUTION_GROUPS:
         raise ValueError(f"group must be one of {DISTRIBUTION_GROUPS}, not {group!r}")
     jobs = gold["fact_jobs"].where(F.col("salary_mid").isNotNull())
-    if group in ("city", "state"):
-        places = gold["dim_location"].select("location_id", group)
-        jobs = jobs.select("location_id", "salary_mid").join(places, "location_id")
     # Empty names still count for the cut to the largest groups; _top_groups drops them after it.
     return jobs.select(F.col(group).alias("grp"), "salary_mid").where(F.col("grp").isNotNull())
 
 
+def _value_counts(gold: Gold, group: str) -> DataFrame:
+    """``grp, v, c``: how often each salary occurs in a group. Counted per foreign key before places are joined."""
+    if group not in PLACE_GROUPS:
+        salaries = _salaries(gold, group)
+        return salaries.groupBy("grp", F.col("salary_mid").alias("v")).agg(F.count("*").alias("c"))
+    jobs = gold["fact_jobs"].where(F.col("salary_mid").isNotNull())
+    counts = jobs.groupBy("location_id", F.col("salary_mid").alias("v")).agg(F.count("*").alias("c"))
+    places = gold["dim_location"].select("location_id", F.col(group).alias("grp")).where(F.col("grp").isNotNull())
+    return counts.join(places, "location_id").groupBy("grp", "v").agg(F.sum("c").alias("c"))
+
+
 def _top_groups(stats: DataFrame, limit: int | None) -> DataFrame:
     top = stats.orderBy(F.desc("n"), F.asc("grp"))
     top = top if limit is None else top.limit(limit)
@@ -205,8 +219,10 @@ def salary_distribution(
 ) -> DataFrame:
     """Quartiles per group from mergeable sketches: bounded memory per group, one shuffle of sketches.
 
-    The rank error is at most n / accuracy.
+    The rank error is at most n / accuracy. For places, see ``place_sketches``.
     """
+    if group in PLACE_GROUPS:
+        return _top_groups(_place_quartiles(gold, place_sketches(gold["fact_jobs"], accuracy), group), limit)
     stats = (
         _salaries(gold, group)
         .groupBy("grp")
@@ -227,21 +243,60 @@ def salary_distribution(
     return _top_groups(stats, limit)
 
 
+def place_sketches(jobs: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """``location_id, n, total, sketch``: salaries of each place key, to be stored or merged into any grouping of places.
+
+    KLL sketches hold up to ``k`` values exactly; beyond, the rank error is about n / accuracy with a probability of
+    99 % (k cannot exceed 65,535, which stands for an accuracy of 9,600).
+    """
+    k = min(max(8, math.ceil((_KLL_CONSTANT * accuracy) ** (1 / _KLL_POWER))), 65_535)
+    return jobs.where(F.col("salary_mid").isNotNull()).groupBy("location_id").agg(
+        F.count("*").alias("n"),
+        F.sum("salary_mid").alias("total"),
+        F.kll_sketch_agg_double("salary_mid", F.lit(k)).alias("sketch"),
+    )
+
+
+def _place_quartiles(gold: Gold, sketches: DataFrame, group: str) -> DataFrame:
+    """Sketches merged by a column of the place dimension: the join sees one row per place key."""
+    places = gold["dim_location"].select("location_id", F.col(group).alias("grp")).where(F.col("grp").isNotNull())
+    merged = sketches.join(places, "location_id").groupBy("grp").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    quartiles = zip(("salary_p25", "salary_median", "salary_p75"), QUARTILES)
+    return merged.select(
+        "grp",
+        "n",
+        *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in quartiles],
+        (F.col("total") / F.col("n")).alias("salary_mid"),
+    )
+
+
 def exact_quantiles(
     df: DataFrame, group: str, value: str, quantiles: Sequence[float] = QUARTILES, width: float = 100.0
 ) -> DataFrame:
     """Exact interpolated quantiles per group as an array ``q`` plus the group's row count ``n``.
 
-    Equal values collapse into counts before the first shuffle. The counts are summed per value band
-    of the given width; running totals over bands tell which bands hold the wanted ranks, and only
-    those bands are ranked value by value. No task ever sees a whole group, only one band of it.
+    Equal values collapse into counts before the first shuffle.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(group).alias("grp"), F.col(value).alias("v"))
         .agg(F.count("*").alias("c"))
-        .withColumn("band", F.floor(F.col("v") / F.lit(float(width))))
     )
+    return quantiles_of_counts(counts, quantiles, width)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, quantiles: Sequence[float] = QUARTILES, width: float = 100.0
+) -> DataFrame:
+    """The same from ``grp, v, c``: how often each value occurs in a group.
+
+    The counts are summed per value band of the given width; running totals over bands tell which bands
+    hold the wanted ranks, and only those bands are ranked value by value. No task ever sees a whole group, only one
+    band of it.
+    """
+    counts = counts.withColumn("band", F.floor(F.col("v") / F.lit(float(width))))
     by_band = Window.partitionBy("grp").orderBy("band")
     bands = (
         counts.groupBy("grp", "band")
@@ -286,11 +341,11 @@ def exact_quantiles(
 def salary_distribution_exact(
     gold: Gold, group: str = "category", limit: int | None = DISTRIBUTION_LIMIT
 ) -> DataFrame:
-    """The same table with exact interpolated quartiles."""
-    salaries = _salaries(gold, group)
-    means = salaries.groupBy("grp").agg(F.avg("salary_mid").alias("salary_mid"))
+    """The same table with exact interpolated quartiles, from value counts that also give the means: one scan of the facts."""
+    counts = _value_counts(gold, group)
+    means = counts.groupBy("grp").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("salary_mid"))
     stats = (
-        exact_quantiles(salaries, "grp", "salary_mid")
+        quantiles_of_counts(counts)
         .join(means, "grp")
         .select(
             "grp",
