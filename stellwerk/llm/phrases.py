@@ -12,7 +12,7 @@
    numbers of up to 38 digits. Phrases are ranked within their language by first rows per task, then over all.
 
 Null text is empty, null lang is ``und``. Empty texts and pieces add nothing; repeated rows count as often as they stand
-there; ids of documents play no part. An empty table gives no rows. Texts are handled whole; a slice holds about 4 MB
+there; ids of documents play no part. An empty table gives no rows. Texts are handled whole; a slice holds about 2 MB
 of text or one longer text.
 """
 
@@ -33,9 +33,9 @@ from stellwerk.llm.columnar import stored
 from stellwerk.llm.numbering import numbered
 
 NO_LANG = "und"
-SLICE = 4 << 20
+SLICE = 2 << 20
 # Entries of a task's filter before it is handed on, and of a shard at most, as an average.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 SHARD = 1 << 19
 # Parts of a language that are ranked apart.
 PARTS = 64
@@ -53,13 +53,18 @@ _GRAMS = "length int, w1 bigint, w2 bigint, w3 bigint, a bigint"
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Mask of the bytes of words; start, length and row of each word, and whether a piece begins with it."""
     inside = ~(_BLANK | _BREAK)[data]
-    bounds = offsets[(offsets > 0) & (offsets < len(data))]
-    before = np.append(False, inside[:-1])
-    after = np.append(inside[1:], False)
-    before[bounds], after[bounds - 1] = False, False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    bounds = np.unique(offsets[(offsets > 0) & (offsets < len(data))])  # empty texts repeat a bound
+    # A word begins or ends where the mask changes, and at the bounds of texts.
+    edge = np.append(inside, False)
+    edge[1:] ^= inside
+    edge[bounds] = inside[bounds] | inside[bounds - 1]
+    joined = bounds[inside[bounds] & inside[bounds - 1]]
+    places = np.flatnonzero(edge).astype(np.int32)
+    if len(joined):  # one word ends and the next one begins there
+        places = np.sort(np.append(places, joined.astype(np.int32)))
+    starts, ends = places[::2], places[1::2]
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    breaks = np.append(0, np.cumsum(_BREAK[data]))[starts]
+    breaks = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
     opens = np.ones(len(starts), bool)
     opens[1:] = (breaks[1:] != breaks[:-1]) | (rows[1:] != rows[:-1])
     return inside, ends - starts, rows, opens
@@ -75,7 +80,7 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, lengths, rows, opens = _pieces(data, offsets)
         if not len(lengths):
             continue
-        ends = np.append(0, np.cumsum(lengths))
+        ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
         spelled = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(data[inside]))
         spelled = spelled.dictionary_encode()
         lang = pc.fill_null(batch.column("lang"), NO_LANG).dictionary_encode()

@@ -134,6 +134,8 @@ def test_odd_rows(spark):
     odd = [(None, "a b a b " * 30, None), (1, None, "en"), (1, "", "en"), (2, " .,\n ", None), (3, "p q " * 20, "en"), (3, "p q " * 20, "en")]
     long = [(4, "alpha beta gamma " * 200_000, "de")]
     assert got(spark, odd) == plain(odd) and got(spark, odd + long) == plain(odd + long)
+    beside = [(i, t, "en") for i, t in enumerate(["x", "", None, "y", "", "x y", "y", ".", "x"] * 12)]
+    assert got(spark, beside) == plain(beside) != []
     assert got(spark, []) == [] and got(spark, [(1, "a b", "en")]) == []
     clash = spark.createDataFrame(odd, SCHEMA).selectExpr("*", "1 AS slice", "2 AS w1", "'x' AS words", "3 AS n", "4 AS `a b`")
     assert sorted(map(tuple, collocations(clash).collect())) == plain(odd)
