@@ -14,12 +14,12 @@ from stellwerk.functions import keys
 from stellwerk.functions.text import norm_text
 from stellwerk.operators import activity, dedup, metrics, quality, quota, silver, skills, validate, visits
 from stellwerk.operators import gold as star
-from stellwerk.operators.search import JobsFilter, matching_jobs, search, unseen_only
+from stellwerk.operators.search import JobsFilter, matching_jobs, next_keyset, search, unseen_only
 from stellwerk.plans import gold_upkeep
 from stellwerk.plans import jobs as batch
 from stellwerk.plans.scratch import written_once
 from stellwerk.session import checkpoint_root
-from stellwerk.sources import lake
+from stellwerk.sources import activity_store, lake, status
 from stellwerk.sources.adapters import ADAPTERS
 from stellwerk.sources.unify import filter_categories, filter_sources
 from stellwerk.sources.visit_log import parse_visit_lines
@@ -775,3 +775,99 @@ def backfill_rows(spark, sf_dir):
     batch.backfill(spark, root, "1997-01-01", "1998-01-01", taxonomy=fx.PART_LEXICON)
     rows = lake.read_silver(spark, f"{root}/{batch.SILVER}")
     return rows.select("run_day", "source", "dedup_key", "title", "company", naive("fetched_at"), naive("posted_at"), "category")
+
+
+# ---- stores ------------------------------------------------------------------------------------
+
+
+@register("quarantine_rows")
+def quarantine_rows(spark, sf_dir):
+    """Rejected postings, written as JSON lines and read back."""
+    _, rejected = validate.validate(_candidates(spark, sf_dir).withColumn("record", F.to_json(F.struct("source_id", "title"))))
+    path = f"{_fresh_lake(spark)}/quarantine"
+    lake.write_quarantine(rejected, path, "run", fx.POSTINGS_AS_OF)
+    rows = lake.read_quarantine(spark, path)
+    return rows.select("source", "reason", joined("errors"), "record", "search_category", "page", naive("fetched_at"), "month")
+
+
+@register("silver_days_present")
+def silver_days_present(spark, sf_dir):
+    """Which days silver holds, asked day by day."""
+    silver_root = f"{_kept_gold(spark, sf_dir)}/{batch.SILVER}"
+    days = [f"{year}-01-01" for year in range(1990, 2006)]
+    found = [(day, lake.silver_day_exists(spark, silver_root, day)) for day in days]
+    return spark.createDataFrame(found, "day string, present boolean").select(F.col("day").cast("date").alias("day"), "present")
+
+
+@register("run_status")
+def run_status(spark, sf_dir):
+    """Status of a run, written and read back: all boards, one of them with a quota."""
+    used = fx.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").agg(F.count("*").alias("used"))
+    quota_rows = used.select(
+        F.lit("jooble").alias("api"), "used", F.lit(1000).cast("bigint").alias("quota_limit"),
+        F.round(F.col("used") / 10, 1).alias("percent"), F.lit(False).alias("monthly"), F.lit(None).cast("date").alias("reset_date"),
+    )
+    path = f"{_fresh_lake(spark)}/status"
+    status.write_run_status(status.run_status(_report(spark, sf_dir), "run", f"{fx.AS_OF} 06:00:00", quota_rows), path)
+    rows = status.read_run_status(spark, path)
+    return rows.select("source", "label", "loaded", "valid", "quarantined", "aborted", "abort_reason", naive("run_at"), "quota.used", "quota.percent")
+
+
+def _activity_store(spark, sf_dir) -> str:
+    def build(root: str) -> None:
+        rows = fx.stored_activity(spark, sf_dir).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+        # No snapshot is stored as an empty text.
+        activity_store.write_activity(rows.withColumn("snapshot", F.coalesce("snapshot", F.lit(""))), f"{root}/activity")
+
+    return f"{_once(spark, sf_dir, 'activity', build)}/activity"
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    return rows.select("username", "job_id", joined("status"), "snapshot", naive("updated_at"))
+
+
+@register("activity_stored")
+def activity_stored(spark, sf_dir):
+    """Activity after a round trip through the store."""
+    return _stored(activity_store.read_activity(spark, _activity_store(spark, sf_dir)))
+
+
+@register("activity_of_user")
+def activity_of_user(spark, sf_dir):
+    return _stored(activity_store.read_activity(spark, _activity_store(spark, sf_dir), "user_7"))
+
+
+def _loaded_taxonomy(spark, sf_dir) -> DataFrame:
+    """A taxonomy file with gaps: a name for each part, categories and synonyms for some."""
+
+    def build(root: str) -> None:
+        part = fx.table(spark, sf_dir, "part")
+        size = F.col("p_size")
+        part.select(
+            F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("canonical"),
+            F.when(size > 30, F.col("p_type")).when(size > 20, F.lit("")).alias("category"),
+            F.when(size % 2 == 0, F.array(F.lower("p_brand"), F.col("p_type"))).alias("synonyms"),
+        ).write.json(f"{root}/taxonomy")
+
+    return skills.load_taxonomy(spark, f"{_once(spark, sf_dir, 'taxonomy', build)}/taxonomy")
+
+
+@register("load_taxonomy")
+def load_taxonomy(spark, sf_dir):
+    return _loaded_taxonomy(spark, sf_dir).select("canonical", "category", joined("synonyms"))
+
+
+@register("canonical_skills")
+def canonical_skills(spark, sf_dir):
+    return skills.canonical_skills(_loaded_taxonomy(spark, sf_dir))
+
+
+@register("next_keysets")
+def next_keysets(spark, sf_dir):
+    """The token after the first 60 dated and undated postings of each board."""
+    tables = fx.gold(spark, sf_dir)
+    found = []
+    for source in sorted(ADAPTERS):
+        page = search(tables, JobsFilter(sources=[source], limit=60))
+        found.append((source, next_keyset(page, 60)))
+    return spark.createDataFrame(found, "source string, token string")

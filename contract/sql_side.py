@@ -866,3 +866,39 @@ UNION ALL
 SELECT DISTINCT 'place', md5(name), name
 FROM (SELECT concat_ws('|', coalesce(city, 'unbekannt'), coalesce(state, 'unbekannt'), coalesce(region, 'Deutschland')) AS name FROM seen)""".replace("WITH seen AS", ", seen AS"),
 )
+
+# ---- stores ------------------------------------------------------------------------------------
+
+_add(
+    "quarantine_rows",
+    f"""SELECT source, 'schema_verletzung' AS reason, errors, search_category, page::INT AS page, fetched_at,
+       '{{"source_id":"' || source_id || '"' || CASE WHEN title IS NULL THEN '' ELSE ',"title":"' || title || '"' END || '}}' AS record,
+       '{POSTINGS_AS_OF[5:7]}' AS month
+FROM judged WHERE errors <> ''""",
+)
+_add(
+    "silver_days_present",
+    f"""SELECT CAST(d AS DATE) AS day, d IN (SELECT run_day FROM ({_OBSERVED})) AS present
+FROM (SELECT unnest(generate_series(DATE '1990-01-01', DATE '2005-01-01', INTERVAL 1 YEAR)) AS d)""",
+)
+_add(
+    "run_status",
+    f"""SELECT status.*, CASE WHEN r.source IS NOT NULL THEN TIMESTAMP '{AS_OF} 06:00:00' END AS run_at,
+       CASE WHEN status.source = 'jooble' AND r.source IS NOT NULL THEN used END AS used,
+       CASE WHEN status.source = 'jooble' AND r.source IS NOT NULL THEN round(used / 10, 1) END AS percent
+FROM status LEFT JOIN report r USING (source), (SELECT count(*) AS used FROM orders WHERE o_orderstatus = 'P')""",
+)
+_STORED = "SELECT username, job_id, array_to_string(status, '|') AS status, nullif(snapshot, '') AS snapshot, updated_at FROM stored"
+_add("activity_stored", _STORED)
+_add("activity_of_user", _STORED + " WHERE username = 'user_7'")
+_TAXONOMY = """SELECT p_name || ' ' || p_partkey AS canonical, CASE WHEN p_size > 30 THEN p_type ELSE 'sonstige' END AS category,
+       CASE WHEN p_size % 2 = 0 THEN lower(p_brand) || '|' || p_type ELSE '' END AS synonyms FROM part"""
+_add("load_taxonomy", _TAXONOMY)
+_add("canonical_skills", f"SELECT canonical FROM ({_TAXONOMY})")
+_add(
+    "next_keysets",
+    """SELECT b.source, strftime(posted_at, '%Y-%m-%dT%H:%M:%S.%f') || '|' || job_id AS token
+FROM boards b LEFT JOIN (
+  SELECT source, posted_at, job_id, row_number() OVER (PARTITION BY source ORDER BY posted_at DESC NULLS LAST, job_id DESC) AS rn
+  FROM fact_jobs) f ON f.source = b.source AND rn = 60""",
+)
