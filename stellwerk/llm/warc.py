@@ -116,7 +116,8 @@ class _Member:
         while (cut := self._data.find(b"\r\n\r\n")) < 0:
             if not self._more(4096):
                 return
-        names = (line.partition(":") for line in self._data[:cut].decode("utf-8", "replace").split("\r\n")[1:])
+        self.version, *lines = self._data[:cut].decode("utf-8", "replace").split("\r\n")
+        names = (line.partition(":") for line in lines)
         self.headers = {name.strip().lower(): value.strip() for name, _, value in names}
         self._block = cut + 4
 
@@ -147,6 +148,8 @@ class _Member:
             have += len(self._data)
         self._data = b"".join(parts)
         block = self._data[self._block : self._block + size]
+        if len(block) < size:
+            raise ValueError(f"the record at byte {self.start} has {len(block)} of {size} bytes")
         return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
     def end(self) -> int:
@@ -163,12 +166,13 @@ class _Member:
 
 
 def records(file, size: int, wanted, payload: bool) -> Iterator[dict]:
-    """The records of an open archive whose header columns pass ``wanted``."""
+    """The records of an open archive whose header columns pass ``wanted``. A damaged one is an error: what follows it
+    could not be found, and must not be missing unnoticed."""
     at = 0
     while at < size:
         member = _Member(file, at)
-        if member.headers is None:
-            break
+        if member.headers is None or not member.version.startswith("WARC/"):
+            raise ValueError(f"no record of an archive at byte {at} of {size}")
         row = {_COLUMNS[h]: v for h, v in member.headers.items() if h in _COLUMNS}
         if "payload_length" in row:
             row["payload_length"] = int(row["payload_length"])
