@@ -1,7 +1,8 @@
 """One adapter per job board: raw posting JSON to the common posting columns.
 
 Each adapter declares the fields it reads and the columns it fills; the rest is NULL. In a board's
-answer '', 0 and [] count as missing wherever a default applies.
+answer '', 0 and [] count as missing wherever a default applies. Fields whose JSON type matters for that are parsed as
+VARIANT, in the one parse that each record gets.
 """
 
 from __future__ import annotations
@@ -22,10 +23,6 @@ from stellwerk.schemas import COUNTRY, RAW, REMOTE, UNTITLED
 
 BA_DETAIL_URL = "https://www.arbeitsagentur.de/jobsuche/jobdetail/"
 
-# Python-style falsy numbers as they may appear in the JSON text.
-_ZERO = r"^-?0+(\.0*)?$"
-
-
 def _r(field: str) -> Column:
     return F.col(f"r.{field}")
 
@@ -34,14 +31,33 @@ def _or(value: Column, default: str) -> Column:
     return F.coalesce(blank_to_null(value), F.lit(default))
 
 
-def _given(text: Column) -> Column:
-    """Is there a value that is neither blank nor zero nor false?"""
-    return F.coalesce((text != "") & ~text.rlike(_ZERO) & (text != "false"), F.lit(False))
+def _text(value: Column) -> Column:
+    """A VARIANT field as text."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def _given(value: Column) -> Column:
+    """Does a VARIANT field count as given? By its JSON type: '', 0, false, null, [] and {} do not, "0" does."""
+    kind, text = F.schema_of_variant(value), _text(value)
+    number = F.try_variant_get(value, "$", "double")
+    return F.coalesce(
+        F.when(kind == "STRING", text != "")
+        .when(kind == "BOOLEAN", text == "true")
+        .when(kind.startswith("ARRAY"), text != "[]")
+        .when(kind.startswith("OBJECT"), text != "{}")
+        .otherwise(number != 0),
+        F.lit(False),
+    )
+
+
+def _number(value: Column) -> Column:
+    """A JSON number; numbers written as text are none."""
+    return F.when(F.schema_of_variant(value) != "STRING", F.try_variant_get(value, "$", "double"))
 
 
-def _positive_or_null(text: Column) -> Column:
+def _positive_or_null(value: Column) -> Column:
     """Number from JSON number or text; 0 and '' are missing."""
-    return F.when(_given(text), text.try_cast("double"))
+    return F.when(_given(value), F.try_variant_get(value, "$", "double"))
 
 
 def _joined(items: Column) -> Column:
@@ -49,10 +65,10 @@ def _joined(items: Column) -> Column:
     return blank_to_null(F.array_join(items, ", "))
 
 
-def _first_of(text: Column) -> Column:
-    """First element when the field holds a JSON list, else the value itself."""
-    is_list = F.ltrim(text).startswith("[")
-    return blank_to_null(F.when(is_list, F.get(F.from_json(text, "array<string>"), 0)).otherwise(text))
+def _first_of(value: Column) -> Column:
+    """First element when a VARIANT field holds a list, else the value itself."""
+    first = F.try_variant_get(value, "$[0]", "string")
+    return blank_to_null(F.when(F.schema_of_variant(value).startswith("ARRAY"), first).otherwise(_text(value)))
 
 
 def _project(landing: DataFrame, fields: str, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
@@ -82,11 +98,11 @@ def _filled(array: Column) -> Column:
 def adapt_adzuna(landing: DataFrame) -> DataFrame:
     area = _r("location.area")
     # Numbers count as salaries, any other given value only as a sign that there is one.
-    written = F.from_json("record", "salary_min string, salary_max string")
+    low, high = _r("salary_min"), _r("salary_max")
     return _project(
         landing,
         """id string, title string, description string, company struct<display_name: string>,
-        location struct<display_name: string, area: array<string>>, salary_min double, salary_max double,
+        location struct<display_name: string, area: array<string>>, salary_min variant, salary_max variant,
         salary_currency string, contract_type string, contract_time string,
         category struct<tag: string, label: string>, created string, redirect_url string,
         latitude double, longitude double""",
@@ -103,9 +119,9 @@ def adapt_adzuna(landing: DataFrame) -> DataFrame:
             "region": F.get(area, 1),
             "latitude": _r("latitude"),
             "longitude": _r("longitude"),
-            "salary_min": _r("salary_min"),
-            "salary_max": _r("salary_max"),
-            "salary_present": _given(written["salary_min"]) | _given(written["salary_max"]),
+            "salary_min": _number(low),
+            "salary_max": _number(high),
+            "salary_present": _given(low) | _given(high),
             "currency": _or(_r("salary_currency"), "EUR"),
             "contract_type": _r("contract_type"),
             "contract_time": _r("contract_time"),
@@ -155,10 +171,10 @@ def adapt_arbeitnow(landing: DataFrame) -> DataFrame:
     tags = _r("tags")
     return _project(
         landing,
-        """slug string, id string, title string, description string, company_name string, location string,
+        """slug string, id variant, title string, description string, company_name string, location string,
         remote boolean, job_types array<string>, tags array<string>, created_at string, url string""",
         {
-            "source_id": F.coalesce(blank_to_null(_r("slug")), F.when(_given(_r("id")), _r("id")), F.lit("")),
+            "source_id": F.coalesce(blank_to_null(_r("slug")), F.when(_given(_r("id")), _text(_r("id"))), F.lit("")),
             "title": _or(_r("title"), UNTITLED),
             "description": F.coalesce(_r("description"), F.lit("")),
             "company": _r("company_name"),
@@ -180,17 +196,17 @@ def adapt_arbeitnow(landing: DataFrame) -> DataFrame:
 def adapt_jooble(landing: DataFrame) -> DataFrame:
     return _project(
         landing,
-        """id string, title string, snippet string, company string, location string, salary string, type string,
+        """id variant, title string, snippet string, company string, location string, salary variant, type string,
         updated string, link string""",
         {
-            "source_id": F.when(_given(_r("id")), _r("id")).otherwise(F.lit("")),
+            "source_id": F.when(_given(_r("id")), _text(_r("id"))).otherwise(F.lit("")),
             "title": _or(_r("title"), UNTITLED),
             "description": F.coalesce(_r("snippet"), F.lit("")),
             "company": _r("company"),
             "location": _r("location"),
             "location_segments": F.array(),
             "city": _r("location"),
-            "salary_present": _r("salary").isNotNull() & (_r("salary") != ""),
+            "salary_present": _given(_r("salary")),
             "currency": F.lit("EUR"),
             "contract_type": _r("type"),
             "posted_at": parse_day_or_second(_r("updated")),
@@ -205,7 +221,7 @@ def adapt_jsearch(landing: DataFrame) -> DataFrame:
     return _project(
         landing,
         """job_id string, job_title string, job_description string, employer_name string, job_city string,
-        job_state string, job_country string, job_is_remote boolean, job_min_salary string, job_max_salary string,
+        job_state string, job_country string, job_is_remote boolean, job_min_salary variant, job_max_salary variant,
         job_salary_currency string, job_employment_type string, job_publisher string,
         job_posted_at_datetime_utc string, job_apply_link string""",
         {
@@ -238,11 +254,11 @@ def adapt_muse(landing: DataFrame) -> DataFrame:
     label = F.get(_r("categories"), 0)["name"]
     return _project(
         landing,
-        """id string, name string, contents string, company struct<name: string>,
+        """id variant, name string, contents string, company struct<name: string>,
         locations array<struct<name: string>>, categories array<struct<name: string>>, type string,
         publication_date string, refs struct<landing_page: string>""",
         {
-            "source_id": _r("id"),
+            "source_id": _text(_r("id")),
             "title": _or(_r("name"), UNTITLED),
             "description": F.coalesce(_r("contents"), F.lit("")),
             "company": _r("company.name"),
@@ -264,17 +280,17 @@ def adapt_muse(landing: DataFrame) -> DataFrame:
 def adapt_remotive(landing: DataFrame) -> DataFrame:
     return _project(
         landing,
-        """id string, title string, description string, company_name string, candidate_required_location string,
-        salary string, job_type string, category string, publication_date string, url string""",
+        """id variant, title string, description string, company_name string, candidate_required_location string,
+        salary variant, job_type string, category string, publication_date string, url string""",
         {
-            "source_id": _r("id"),
+            "source_id": _text(_r("id")),
             "title": _or(_r("title"), UNTITLED),
             "description": F.coalesce(_r("description"), F.lit("")),
             "company": _r("company_name"),
             "location": _r("candidate_required_location"),
             "location_segments": F.array(),
             "region": F.lit(REMOTE),
-            "salary_present": _r("salary").isNotNull() & (_r("salary") != ""),
+            "salary_present": _given(_r("salary")),
             "currency": F.lit("EUR"),
             "contract_type": _r("job_type"),
             "category_tag": _r("category"),
@@ -291,10 +307,10 @@ def adapt_jobicy(landing: DataFrame) -> DataFrame:
     industry = _first_of(_r("jobIndustry"))
     return _project(
         landing,
-        """id string, jobTitle string, jobDescription string, companyName string, jobGeo string, jobIndustry string,
-        jobType string, salaryMin string, salaryMax string, salaryCurrency string, pubDate string, url string""",
+        """id variant, jobTitle string, jobDescription string, companyName string, jobGeo string, jobIndustry variant,
+        jobType variant, salaryMin variant, salaryMax variant, salaryCurrency string, pubDate string, url string""",
         {
-            "source_id": _r("id"),
+            "source_id": _text(_r("id")),
             "title": _or(_r("jobTitle"), UNTITLED),
             "description": F.coalesce(_r("jobDescription"), F.lit("")),
             "company": _r("companyName"),
@@ -320,10 +336,10 @@ def adapt_remoteok(landing: DataFrame) -> DataFrame:
     tags = _r("tags")
     return _project(
         landing,
-        """id string, position string, description string, company string, location string, tags array<string>,
+        """id variant, position string, description string, company string, location string, tags array<string>,
         date string, apply_url string, url string""",
         {
-            "source_id": _r("id"),
+            "source_id": _text(_r("id")),
             "title": _or(_r("position"), UNTITLED),
             "description": F.coalesce(_r("description"), F.lit("")),
             "company": _r("company"),
