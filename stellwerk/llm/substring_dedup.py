@@ -8,7 +8,7 @@ compared by their words in small letters (A-Z), whatever white space lies betwee
 A run that occurs more than once stays where it occurs first: in the document with the smallest doc_id, and
 there at its first place. Sentences covered by any other occurrence are removed.
 
-Runs are hashed to 128 bits on the executors, once for each document; the join finds the smallest doc_id for
+Runs are hashed to 96 bits on the executors, once for each document; the join finds the smallest doc_id for
 each hash (minima are taken before the shuffle, so a passage in a third of all documents costs one row per
 task) and returns to each document the hashes that occur in an earlier one. No pair of documents is formed.
 
@@ -83,9 +83,9 @@ class Runs:
         a, b = first[self.begin], stops[self.end] if len(first) else self.end
         self.row = self.sentence_row[self.begin]
         self.hash = columnar.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
-        # A second hash, of other values of the words: across the corpus, runs are equal if both are.
+        # Half a second hash, of other values of the words: across the corpus, runs are equal if both are.
         others = np.append(np.uint64(0), np.cumsum(columnar.mix(hashes ^ _OTHER) * up[:n], dtype=np.uint64))
-        self.check = columnar.mix((others[b] - others[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+        self.check = (columnar.mix((others[b] - others[a]) * down[a] + (b - a).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         # Runs that have stood before in the same text.
         order = np.lexsort((self.begin, self.hash, self.row))
         same = (self.hash[order][1:] == self.hash[order][:-1]) & (self.row[order][1:] == self.row[order][:-1])
@@ -165,7 +165,7 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     nameless = renamed.where(id_column.isNull()).withColumns({"doc_id": F.lit(NO_ID), "part": F.monotonically_increasing_id()})
     marked = known.unionByName(stored(nameless, "rows"))
     document = F.struct("doc_id", "part")
-    runs = stored(marked.select("doc_id", "part", text.alias("text")).mapInArrow(_run_rows, "run bigint, check bigint, doc_id bigint, part bigint"), "runs")
+    runs = stored(marked.select("doc_id", "part", text.alias("text")).mapInArrow(_run_rows, "run bigint, check int, doc_id bigint, part bigint"), "runs")
     repeated = runs.groupBy("run", "check").agg(F.min(document).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = runs.join(repeated.hint("shuffle_hash"), ["run", "check"]).where(document != F.col("first"))
     hits = later.groupBy("doc_id", "part").agg(F.collect_set("run").alias("hits"))
