@@ -50,7 +50,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-# SQL expresses neither the learned stages nor the token ids; tests hold run() against a brute-force version.
+# SQL expresses neither the learned stages nor the token ids; tests hold the duplicate stages against brute-force versions.
 ORACLE_SQL = None
 
 
