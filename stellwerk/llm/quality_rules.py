@@ -7,8 +7,10 @@ Each line of a text is judged by itself. A line with a word fails as
 * navigation: it has two " | " separators or more, ends in "|", or is a trail of " > " or " » " steps;
 * boilerplate: it holds one of the fixed phrases of cookie, script and subscription notices.
 
-"!!", navigation and boilerplate count in lines of ``SHORT_LINE`` (200) characters at most: an article on one long line that
-mentions a notice once is no notice.
+"!!", navigation and boilerplate are signs, looked for in every line whatever its length: a pair of "!!", of separators or of
+steps, a last "|", and a phrase are one sign each, and a line fails that has one for each ``SIGN_LENGTH`` (200) characters or
+part of them. So one sign is enough in a menu or notice, an article on one long line may mention one, and a
+long line of notices fails.
 
 Lines that fail are removed. A document is rejected if more than half of its word characters go with
 them, or by the base rule: fewer than 50 words, or more than half of its words in repeated three-word
@@ -49,8 +51,9 @@ SYMBOLS = "[^#*$%&|<>]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-# Menus, notices and cries are short; a longer line is a text that may mention one.
-SHORT_LINE = 200
+# Characters that one sign of navigation or boilerplate speaks for.
+SIGN_LENGTH = 200
+PHRASE = "|".join(sorted(BOILERPLATE))
 
 # Bits for the place of a word in a sort key; longer texts are sorted by structs.
 PLACE_BITS = 24
@@ -60,19 +63,29 @@ def _length_left(text: Column, removed: str) -> Column:
     return F.char_length(F.regexp_replace(text, removed, ""))
 
 
+def _pairs(line: Column, mark: str) -> Column:
+    return F.floor(F.regexp_count(line, F.lit(mark)) / 2)
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line is removed (null for none). Signs of navigation and boilerplate count in short lines only."""
+    """Whether a line is removed (null for none). Signs of navigation and boilerplate are weighed against its length."""
     letters = F.char_length(F.regexp_replace(line, "[^A-Za-z]+", ""))
-    cries = F.contains(line, F.lit("!!")) & line.rlike("(?s)!!.*!!")
     capitals = ~line.rlike("[a-z]") & (letters >= 20)
     symbols = _length_left(line, SYMBOLS) * 10 > F.char_length(line)
-    bars = F.contains(line, F.lit("|")) & line.rlike("(?s) \\| .* \\| |\\|[\\x20\\x09-\\x0D]*\\z")
-    trail = line.rlike("(?s) [>»] .* [>»] ")
     small = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(small, F.lit(phrase))
-    return symbols | capitals | ((F.char_length(line) <= SHORT_LINE) & (cries | bars | trail | boilerplate))
+    phrase = F.lit(False)
+    for words in BOILERPLATE:
+        phrase = phrase | F.contains(small, F.lit(words))
+    # Most lines have no sign, which is seen without counting.
+    cries = F.when(F.contains(line, F.lit("!!")), _pairs(line, "!!")).otherwise(0)
+    bars = F.when(
+        F.contains(line, F.lit("|")),
+        _pairs(line, " \\| ") + line.rlike("\\|[\\x20\\x09-\\x0D]*\\z").cast("int"),
+    ).otherwise(0)
+    trail = F.when(F.contains(line, F.lit(">")) | F.contains(line, F.lit("»")), _pairs(line, " [>»] ")).otherwise(0)
+    boilerplate = F.when(phrase, F.regexp_count(small, F.lit(PHRASE))).otherwise(0)
+    signs = cries + bars + trail + boilerplate
+    return symbols | capitals | ((signs > 0) & (signs * SIGN_LENGTH >= F.char_length(line)))
 
 
 def _window(words: Column, i: Column) -> Column:

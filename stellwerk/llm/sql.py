@@ -1,20 +1,23 @@
 """SQL counterparts of the training-data queries, where SQL can express them."""
 
-from stellwerk.llm.quality_rules import BOILERPLATE, SHORT_LINE
+from stellwerk.llm.quality_rules import PHRASE, SIGN_LENGTH
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
+_SIGNS = f"""(
+    len(regexp_extract_all(l, '!!')) // 2
+    + len(regexp_extract_all(l, ' \\| ')) // 2
+    + CAST(regexp_matches(l, '\\|[\\x20\\x09-\\x0D]*\\z') AS BIGINT)
+    + len(regexp_extract_all(l, ' [>»] ')) // 2
+    + len(regexp_extract_all(lower(l), '{PHRASE}'))
+)"""
+
 _LINE_FAILS = f"""(
     length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) * 10 > length(l)
     OR (length(regexp_replace(l, '[^A-Za-z]', '', 'g')) >= 20
         AND NOT regexp_matches(l, '[a-z]'))
-    OR (length(l) <= {SHORT_LINE} AND (
-        l LIKE '%!!%!!%'
-        OR regexp_matches(l, '(?s) \\| .* \\| ')
-        OR regexp_matches(l, '\\|[\\x20\\x09-\\x0D]*\\z')
-        OR regexp_matches(l, '(?s) [>»] .* [>»] ')
-        OR {" OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)}))
+    OR ({_SIGNS} > 0 AND {_SIGNS} * {SIGN_LENGTH} >= length(l))
 )"""
 
 QUALITY = f"""
