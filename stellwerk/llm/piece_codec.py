@@ -76,6 +76,10 @@ class Vocabulary:
             points = np.frombuffer(self.pieces[k].encode("utf-32-le"), np.uint32)
             self.matrix[row, : len(points)] = points
         self.lengths = np.array([len(self.pieces[k]) for k in reachable])
+        # Characters that pieces hold.
+        self.characters = np.zeros(0x110000, bool)
+        self.characters[self.matrix] = True
+        self.characters[0] = "\0" in self.order
         self._edges: tuple[dict, dict] = ({}, {})
         self._asked, self._answers = np.full(ANSWERS, -1, np.int64), np.zeros(ANSWERS, bool)
 
@@ -147,19 +151,60 @@ class Vocabulary:
         return np.array(out, np.int32)
 
 
-def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
-    """Places ordered by what follows them, compared over ``depth`` characters at least."""
-    kinds, rank = np.unique(points, return_inverse=True)
+def codes(points: np.ndarray, known: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for what follows each place, compared over the matrix' width at least, in its order.
+
+    And the range of numbers, end excluded, of what begins with each piece; it is empty for pieces with characters that
+    do not occur. ``known`` tells of every character whether pieces hold it.
+    """
+    seen = np.zeros(len(known), bool)
+    seen[points] = True
+    kinds = np.flatnonzero(seen & known)
+    digit = np.zeros(len(known), np.int64)
+    digit[kinds] = np.arange(1, len(kinds) + 1)
+    base, width = len(kinds) + 1, 1
     # As many characters at once as fit a number.
-    step, base, rank = 1, len(kinds) + 1, rank + 1
-    while step < depth and base**2 < 1 << 62:
-        rank = rank * base + _after(rank, step)
-        step, base = 2 * step, base**2
-    while step < depth:
-        _, rank = np.unique(rank, return_inverse=True)
-        rank = rank * (len(rank) + 1) + _after(rank + 1, step)
+    while (base ** (2 * width)) < 1 << 62 and width < matrix.shape[1]:
+        width *= 2
+    value, step = digit[points], 1
+    while step < width:
+        value = value * base**step + _after(value, step)
         step *= 2
-    return np.argsort(rank, kind="stable")
+    # Each piece by parts of that width: full ones are one number, those cut short a range, those beyond the end anything.
+    parts = -(-matrix.shape[1] // width)
+    parts = 1 << (parts - 1).bit_length()
+    digits = np.zeros((len(matrix), parts * width), np.int64)
+    digits[:, : matrix.shape[1]] = digit[matrix]
+    here = np.arange(parts * width) < lengths[:, None]
+    possible = (digits.astype(bool) | ~here).all(axis=1)
+    digits = np.where(here, digits, 0).reshape(len(matrix), parts, width)
+    held = np.clip(lengths[:, None] - np.arange(parts) * width, 0, width)
+    low = digits @ (base ** np.arange(width - 1, -1, -1, dtype=np.int64))
+    high = low + base ** (width - held).astype(np.int64)
+    while parts > 1:
+        kept, _, value = _distinct(value)
+        n = len(kept) + 1
+        value = value * n + _after(value + 1, width)
+        first, last = np.searchsorted(kept, low), np.searchsorted(kept, high)
+        full, after = held[:, ::2] == width, held[:, 1::2] > 0
+        second, third = np.where(after, first[:, 1::2] + 1, 0), np.where(after, last[:, 1::2] + 1, n)
+        first, last = first[:, ::2], last[:, ::2]
+        low = first * n + np.where(full, second, 0)
+        high = np.where(full, np.where(last > first, first * n + third, low), last * n)
+        held, width, parts = held[:, ::2] + held[:, 1::2], 2 * width, parts // 2
+    low, high = low[:, 0], high[:, 0]
+    return value, low, np.where(possible, high, low)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and which of them every value is."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return ordered[first], order[first], which
 
 
 def _after(rank: np.ndarray, step: int) -> np.ndarray:
@@ -167,125 +212,155 @@ def _after(rank: np.ndarray, step: int) -> np.ndarray:
     return np.append(rank[step:], np.zeros(min(step, len(rank)), rank.dtype))
 
 
-def occurrences(points: np.ndarray, order: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every piece the range of the suffix array that begins with it, by bisection."""
-    padded = np.append(points, np.zeros(matrix.shape[1], np.uint32))
-    column = np.arange(matrix.shape[1])
-
-    def compared(pieces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether what stands there begins with the piece, and whether it is smaller."""
-        seen, wanted = padded[order[at][:, None] + column], matrix[pieces]
-        differs = (seen != wanted) & (column < lengths[pieces][:, None])
-        first, row = differs.argmax(axis=1), np.arange(len(pieces))
-        equal = ~differs[row, first]
-        return equal, ~equal & (seen[row, first] < wanted[row, first])
-
-    low, high = np.zeros(len(matrix), np.int64), np.full(len(matrix), len(order))
-    while (active := np.flatnonzero(low < high)).size:
-        middle = (low[active] + high[active]) // 2
-        _, right = compared(active, middle)
-        low[active[right]] = middle[right] + 1
-        high[active[~right]] = middle[~right]
-    begin, end = low, low.copy()
-    some = np.flatnonzero(low < len(order))
-    some = some[compared(some, low[some])[0]]  # pieces that occur at all
-    low, high = begin[some] + 1, np.full(len(some), len(order))
-    while (active := np.flatnonzero(low < high)).size:
-        middle = (low[active] + high[active]) // 2
-        equal, smaller = compared(some[active], middle)
-        right = equal | smaller
-        low[active[right]] = middle[right] + 1
-        high[active[~right]] = middle[~right]
-    end[some] = low
-    return begin, end
+def occurrences(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the text, and for every piece the range of it that begins with the piece, by bisection."""
+    value, low, high = codes(points, vocabulary.characters, vocabulary.matrix, vocabulary.lengths)
+    order = np.argsort(value)
+    value = value[order]
+    return order.astype(np.int32), np.searchsorted(value, low), np.searchsorted(value, high)
 
 
 def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """Ids of words in which blanks are written as the vocabulary's blank character.
+    """Ids of words in which blanks are written as the vocabulary's blank character."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ids, sizes = encode_points(vocabulary, points, np.fromiter(map(len, words), np.int64, len(words)))
+    return np.split(ids, np.cumsum(sizes)[:-1]) if words else []
+
+
+def encode_points(vocabulary: Vocabulary, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words given as their characters one after another and their sizes; all ids, and how many each word has.
 
     Words are matched in rounds of ``ROUND`` characters or one longer word.
     """
-    out: list[np.ndarray] = []
-    start, size = 0, 0
-    for i, word in enumerate(words):
-        if i > start and size + len(word) > ROUND:
-            out += _matched(vocabulary, words[start:i])
-            start, size = i, 0
-        size += len(word) + 1
-    return out + _matched(vocabulary, words[start:])
-
-
-def _matched(vocabulary: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    out: list[np.ndarray | None] = [None] * len(words)
-    simple = []
-    for i, word in enumerate(words):
-        if _BLANK * 2 in word or _BREAK in word:
-            out[i] = vocabulary.to_ids(vocabulary.merged(word)[0])
-        else:
-            simple.append(i)
-    if not simple:
-        return out
-    points = np.frombuffer((_BREAK.join(words[i] for i in simple) + _BREAK).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(words[i]) for i in simple])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    order = suffix_array(points, vocabulary.longest)
-    low, high = occurrences(points, order, vocabulary.matrix, vocabulary.lengths)
-    n = high - low
-    start = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int32)
-    piece, length = (np.repeat(x.astype(np.int32), n) for x in (vocabulary.reachable, vocabulary.lengths))
+    ends = np.cumsum(sizes)
+    ids, counts, start = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+    while start < len(sizes):
+        before = ends[start] - sizes[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + ROUND, side="right")))
+        found, n = _matched(vocabulary, points[before : ends[stop - 1]], sizes[start:stop])
+        ids.append(found)
+        counts.append(n)
+        start = stop
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def _matched(vocabulary: Vocabulary, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    blank = points == ord(_BLANK)
+    odd = np.zeros(len(sizes), bool)
+    odd[word[1:][blank[1:] & blank[:-1] & (word[1:] == word[:-1])]] = True
+    odd[word[points == ord(_BREAK)]] = True
+    if not odd.any():
+        return _matched_simple(vocabulary, points, sizes)
+    ends = np.cumsum(sizes)
+    found, n = _matched_simple(vocabulary, points[~odd[word]], sizes[~odd])
+    counts = np.zeros(len(sizes), np.int64)
+    counts[~odd] = n
+    merged = {}
+    for i in np.flatnonzero(odd).tolist():
+        text = points[ends[i] - sizes[i] : ends[i]].tobytes().decode("utf-32-le")
+        merged[i] = vocabulary.to_ids(vocabulary.merged(text)[0])
+        counts[i] = len(merged[i])
+    ids = np.empty(counts.sum(), np.int32)
+    ids[~np.repeat(odd, counts)] = found
+    ids[np.repeat(odd, counts)] = np.concatenate(list(merged.values()))
+    return ids, counts
+
+
+def _matched_simple(vocabulary: Vocabulary, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words have no two blanks in a row and no ``_BREAK``."""
+    if not len(chars):
+        return np.empty(0, np.int32), np.zeros(len(sizes), np.int64)
+    points = np.full(len(chars) + len(sizes), ord(_BREAK), np.uint32)
+    points[np.arange(len(chars)) + np.repeat(np.arange(len(sizes)), sizes)] = chars
+    begins = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
+    order, low, high = occurrences(vocabulary, points)
+    some = np.flatnonzero(high > low)
+    n = (high - low)[some]
+    start = order[np.repeat((low[some] - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]
+    row = np.repeat(some.astype(np.int32), n)
     del order, low, high
-    # Characters without a piece are edges of their own, which nothing joins.
-    single = np.zeros(len(points), bool)
-    single[start[length == 1]] = True
-    single[points == ord(_BREAK)] = True
+    # Characters without a piece are edges of their own, which nothing joins: they count as one piece more.
+    single = points == ord(_BREAK)
+    single[start[vocabulary.lengths[row] == 1]] = True
     unknown = np.flatnonzero(~single)
-    start, length = np.append(start, unknown.astype(np.int32)), np.append(length, np.ones(len(unknown), np.int32))
-    piece = np.append(piece, np.full(len(unknown), len(vocabulary.pieces), np.int32))
-    word_begin = np.repeat(begins.astype(np.int32), sizes + 1)
-    place = start + length - word_begin[start]
+    pieces = np.append(vocabulary.reachable, len(vocabulary.pieces)).astype(np.int32)
+    lengths = np.append(vocabulary.lengths, 1).astype(np.int32)
+    start = np.append(start, unknown.astype(np.int32))
+    row = np.append(row, np.full(len(unknown), len(pieces) - 1, np.int32))
+    place = start + lengths[row] - np.repeat(begins, sizes + 1)[start]
     by_place = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
-    start, length, piece, place = start[by_place], length[by_place], piece[by_place], place[by_place]
-    last, came = np.full(len(points) + 1, _NONE), np.zeros(len(points) + 1, np.int64)
+    bounds = np.append(0, np.cumsum(np.bincount(place)[1:]))
+    start, row = start[by_place], row[by_place]
+    del place, by_place
+    last, came = np.full(len(points) + 1, _NONE, np.int32), np.zeros(len(points) + 1, np.int32)
     last[begins] = _START
-    bounds = np.searchsorted(place, np.arange(1, place.max(initial=0) + 2))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        s, p = start[a:b], piece[a:b]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        s = start[a:b]
         before = last[s]
+        reached = np.flatnonzero(before != _NONE)
+        s, r, before = s[reached], row[a:b][reached], before[reached]
+        p = pieces[r]
         good = (before == _START) | (before == len(vocabulary.pieces)) | (p == len(vocabulary.pieces))
-        check = np.flatnonzero(~good & (before >= 0))
+        check = np.flatnonzero(~good)
         good[check] = vocabulary.all_apart(before[check], p[check])
-        good &= before != _NONE
-        end = s[good] + length[a:b][good]
-        last[end], came[end] = p[good], s[good]
-    # Back from the ends of all words at once.
-    ids = np.append(vocabulary.ids, np.int32(-1))
-    at, steps = begins + sizes, []
-    word = np.arange(len(simple))
-    while len(word):
-        steps.append((word, ids[last[at]], came[at]))
-        at = came[at]
-        more = at > begins[word]
-        word, at = word[more], at[more]
-    owner = np.concatenate([w for w, _, _ in steps[::-1]])
-    found = np.concatenate([v for _, v, _ in steps[::-1]])
-    places = np.concatenate([p for _, _, p in steps[::-1]])
-    by_word = np.lexsort((places, owner))
-    owner, found, places = owner[by_word], found[by_word], places[by_word]
-    bounds = np.searchsorted(owner, np.arange(len(simple) + 1))
-    missing = set(owner[found < 0].tolist())
-    for k, i in enumerate(simple):
-        own = found[bounds[k] : bounds[k + 1]]
-        if k in missing:
-            parts = [[v] if v >= 0 else [vocabulary.byte_ids[b] for b in chr(points[p]).encode("utf-8")] for v, p in zip(own, places[bounds[k] : bounds[k + 1]])]
-            own = np.array([v for part in parts for v in part], np.int32)
-        out[i] = own
-    return out
+        s, p, end = s[good], p[good], (s + lengths[r])[good]
+        last[end], came[end] = p, s
+    # Back from the ends of all words at once; a place where a piece begins is marked with it.
+    used = np.full(len(points), _NONE, np.int32)
+    at = (begins + sizes)[sizes > 0]
+    begin = begins[sizes > 0]
+    while len(at):
+        back = came[at]
+        used[back] = last[at]
+        more = back > begin
+        at, begin = back[more], begin[more]
+    places = np.flatnonzero(used != _NONE)
+    found = np.append(vocabulary.ids, np.int32(-1))[used[places]]
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes + 1)[places], minlength=len(sizes))
+    missing = found < 0
+    if not missing.any():
+        return found, counts
+    # Characters without a piece become their bytes.
+    lost = points[places[missing]]
+    n = np.ones(len(found), np.int64)
+    n[missing] += (lost >= 0x80).astype(np.int64) + (lost >= 0x800) + (lost >= 0x10000)
+    out = np.repeat(found, n)
+    bytes_of = np.frombuffer(lost.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+    out[out < 0] = [vocabulary.byte_ids[b] for b in bytes_of.tolist()]
+    return out, np.add.reduceat(np.append(n, 0), np.cumsum(counts) - counts) * (counts > 0)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class Encoder:
+    """Words already encoded are kept by their hash: the ids of all of them in one array, and where each word's begin."""
+
     def __init__(self, vocabulary: Vocabulary):
         self._vocabulary = vocabulary
-        self._known: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hashes = np.empty(0, np.uint64)
+        self._starts, self._sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._ids = np.empty(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode words that lie in the text from ``begin`` to ``end``; their hashes are in order."""
+        sizes = end - begin
+        taken = data[_spans(begin, sizes)]
+        points = np.frombuffer(taken.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+        points[points == 32] = ord(_BLANK)
+        lengths = np.add.reduceat((taken & 0xC0) != 0x80, np.cumsum(sizes) - sizes, dtype=np.int64)
+        ids, counts = encode_points(self._vocabulary, points, lengths)
+        at = np.searchsorted(self._hashes, hashes)
+        self._hashes = np.insert(self._hashes, at, hashes)
+        self._starts = np.insert(self._starts, at, len(self._ids) + np.cumsum(counts) - counts)
+        self._sizes = np.insert(self._sizes, at, counts)
+        self._ids = np.append(self._ids, ids)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch and the bounds of its rows."""
@@ -298,22 +373,18 @@ class Encoder:
         opens[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         begin = np.flatnonzero(opens)
         end = np.append(begin[1:], len(data)) if len(begin) else begin
-        hashes, sample, where = np.unique(columnar.span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        raw, known = data.tobytes(), self._known
-        new = [(h, s) for h, s in zip(hashes.tolist(), sample.tolist()) if h not in known]
-        words = [raw[begin[s] : end[s]].decode("utf-8").replace(" ", _BLANK) for _, s in new]
-        for (h, _), ids in zip(new, encode_words(self._vocabulary, words)):
-            known[h] = ids
-        found = [known[h] for h in hashes.tolist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.empty(0, np.int32)
-        out_sizes = sizes[where]
-        ends = np.cumsum(out_sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[where] - (ends - out_sizes), out_sizes) + np.arange(total)]
-        return ids, np.append(0, ends)[np.searchsorted(begin, offsets)]
+        if len(self._hashes) > REMEMBERED:
+            self._forget()
+        hashes, sample, where = _distinct(columnar.span_hashes(data, begin, end))
+        place = np.searchsorted(self._hashes, hashes)
+        new = place == len(self._hashes)
+        new[~new] = self._hashes[place[~new]] != hashes[~new]
+        if new.any():
+            self._learn(hashes[new], data, begin[sample[new]], end[sample[new]])
+            place = np.searchsorted(self._hashes, hashes)
+        sizes = self._sizes[place][where]
+        ids = self._ids[_spans(self._starts[place][where], sizes)]
+        return ids, np.append(0, np.cumsum(sizes))[np.searchsorted(begin, offsets)]
 
 
 _encoders: dict[str, tuple[Vocabulary, Encoder]] = {}
