@@ -166,7 +166,8 @@ def landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         "search_category",
         F.col("l_linenumber").alias("page"),
         F.col("fetched_at").cast("timestamp").alias("fetched_at"),
-        _record(source).alias("record"),
+        # As a page's list of postings is: the records are then written by compiled code, apart from their parsing.
+        F.explode(F.array(_record(source))).alias("record"),
         F.lit(True).alias("intact"),
     )
 

@@ -16,6 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
     "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.parquet.compression.codec": "zstd",
 }
