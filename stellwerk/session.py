@@ -9,11 +9,14 @@ from pyspark.sql import SparkSession
 # UTC keeps naive source dates, date truncation and day partitions stable wherever the job runs.
 # AQE coalesces small shuffle partitions and splits skewed ones. Sizes are those of compressed columns or
 # rows, which take ten to forty times as much in memory once strings are built from them: small tasks sort
-# there, larger ones would spill whole rows to disk.
+# there, larger ones would spill whole rows to disk. Partitions that a window or a sort reads are only ever joined up
+# to that size, not cut: shuffles start with 400, so that 6 GB keep to it whatever number the session has. More would make
+# the blocks of a small task too short to be compressed well.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
