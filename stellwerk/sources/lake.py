@@ -49,12 +49,12 @@ def _balanced(df: DataFrame, *columns: str) -> DataFrame:
 _ALIKE = ["contract_type", "contract_time", "location_segments", "city", "search_category", "title"]
 
 
-def _bronze_rows(df: DataFrame, run: str, run_day: dt.date | str | None, written: Observation) -> DataFrame:
-    """Rows of the bronze layer, a folder's together; the observation counts them.
+def _bronze_rows(df: DataFrame, run: str, run_day: dt.date | str | None) -> DataFrame:
+    """Rows of the bronze layer, a folder's together.
 
     Keys and partition columns are made after the shuffle, of which they would be a quarter: hashes do not compress.
-    Rows are sorted before it, as like rows side by side compress to two thirds. They are counted between the two:
-    a sort right below a shuffle would be left out.
+    Rows are sorted before it, as like rows side by side compress to two thirds. They are counted between the two
+    because a sort right below a shuffle would be left out.
     """
     derived = ["job_id", "dedup_key", "source_priority", "year", "month", "day", "run"]
     rows = _partition_columns(df, run_day, run).withColumn("__day", _run_day(df, run_day))
@@ -62,7 +62,7 @@ def _bronze_rows(df: DataFrame, run: str, run_day: dt.date | str | None, written
     if missing := [c for c in given if c not in rows.columns]:
         raise ValueError(f"no postings to write: {', '.join(missing)} missing")
     alike = rows.select(*given, "__day").sortWithinPartitions(*_ALIKE)
-    short = alike.observe(written, F.count(F.lit(1)).alias("rows"))
+    short = alike.observe("sorted", F.count(F.lit(1)).alias("rows"))
     balanced = with_keys(_balanced(short, "source", "__day", "category"))
     return _partition_columns(balanced, F.col("__day"), run).select(*BRONZE.fieldNames())
 
@@ -74,7 +74,8 @@ def write_bronze(df: DataFrame, root: str, run: str, run_day: dt.date | str | No
     """
     written = Observation()
     (
-        _bronze_rows(df, run, run_day, written)
+        _bronze_rows(df, run, run_day)
+        .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")

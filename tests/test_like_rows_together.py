@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from stellwerk.schemas import BRONZE
@@ -26,7 +25,7 @@ def bronze(spark, n):
 
 def test_bronze_rows_are_sorted_before_their_shuffle(spark, tmp_path):
     df = bronze(spark, 300)
-    plan = lake._bronze_rows(df, "r", None, Observation())._jdf.queryExecution().executedPlan().toString().splitlines()
+    plan = lake._bronze_rows(df, "r", None)._jdf.queryExecution().executedPlan().toString().splitlines()
     shuffle = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line)
     assert any("Sort [" in line and "title" in line for line in plan[shuffle:])
     lake.write_bronze(df, str(tmp_path / "w"), "r")
