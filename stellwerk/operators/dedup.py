@@ -8,6 +8,7 @@ third of all rows reaches its reducer as one row per map task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,27 +69,23 @@ def _with_prints(df: DataFrame) -> DataFrame:
     return df.withColumns(_prints(df))
 
 
+def _latest_key(scope: Sequence[str]) -> list[str | Column]:
+    return [*scope, "source", "source_id"]
+
+
+def _batch_key(scope: Sequence[str]) -> list[str | Column]:
+    hour = F.date_trunc("hour", "fetched_at")
+    return [*scope, "source", F.lower(F.trim("title")), lower_trim(F.col("company")), hour]
+
+
 def dedup_latest(df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequence[Column] | None = None) -> DataFrame:
     """Within a board: the latest observation of each posting id."""
-    return survivors(
-        df, [*scope, "source", "source_id"], [F.desc("fetched_at")], _default_ties(df, tie_breakers)
-    )
+    return survivors(df, _latest_key(scope), [F.desc("fetched_at")], _default_ties(df, tie_breakers))
 
 
 def dedup_batch(df: DataFrame, scope: Sequence[str] = (), tie_breakers: Sequence[Column] | None = None) -> DataFrame:
     """Within a board and fetch hour: one posting per title and company."""
-    return survivors(
-        df,
-        [
-            *scope,
-            "source",
-            F.lower(F.trim("title")),
-            lower_trim(F.col("company")),
-            F.date_trunc("hour", "fetched_at"),
-        ],
-        [F.desc("fetched_at")],
-        _default_ties(df, tie_breakers),
-    )
+    return survivors(df, _batch_key(scope), [F.desc("fetched_at")], _default_ties(df, tie_breakers))
 
 
 def dedup_cross_source(
@@ -117,47 +114,135 @@ def dedup_bronze(
 DERIVED = ["job_id", "dedup_key", "source_priority"]
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Rules that are applied one after the other.
+
+    ``steps`` are those at the beginning that look for repeats, where most rows share their key with no other: each with
+    its key. ``rest`` are the others. ``named`` are the rows that may stay at all, by a filter.
+    """
+
+    steps: Sequence[tuple[Sequence[str | Column], Callable[[DataFrame], DataFrame]]]
+    rest: Callable[[DataFrame], DataFrame]
+    whole: Callable[[DataFrame], DataFrame]
+    named: Callable[[DataFrame], DataFrame] = lambda df: df
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.whole(df)
+
+
 def bronze_rules(
     scope: Sequence[str] = (),
     tie_breakers: Sequence[Column] | None = None,
     keys: Callable[[DataFrame], DataFrame] | None = None,
-) -> Callable[[DataFrame], DataFrame]:
+) -> Rules:
     """The three bronze rules as one.
 
     ``keys`` makes the derived columns, which may be missing before: the first two rules do without them, and hashes do
     not compress in their shuffles.
     """
 
-    def rules(df: DataFrame) -> DataFrame:
+    def prepared(df: DataFrame) -> DataFrame:
         rows = df if tie_breakers is not None else _with_prints(df)
-        if keys is not None:
-            rows = rows.drop(*DERIVED)
-        for rule in (dedup_latest, dedup_batch):
-            rows = rule(rows, scope, tie_breakers)
-        if keys is not None:
-            rows = keys(rows)
-        return dedup_cross_source(rows, scope, tie_breakers).drop(*_PRINTS)
+        return rows if keys is None else rows.drop(*DERIVED)
+
+    def last(rows: DataFrame) -> DataFrame:
+        return dedup_cross_source(rows if keys is None else keys(rows), scope, tie_breakers).drop(*_PRINTS)
+
+    def first(rule: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: rule(prepared(df), scope, tie_breakers)
+
+    def rules(df: DataFrame) -> DataFrame:
+        return last(dedup_batch(dedup_latest(prepared(df), scope, tie_breakers), scope, tie_breakers))
 
-    return rules
+    steps = [(_latest_key(scope), first(dedup_latest)), (_batch_key(scope), first(dedup_batch))]
+    return Rules(steps, lambda df: last(prepared(df)), rules)
 
 
 # Bits of one of Spark's bitmaps, and how many bitmaps (64 MB, half a billion stored rows) are sent to every executor.
 _BITS, _BROADCAST = 32_768, 16_384
-_CHUNK, _KEPT = "_chunk", "_kept"
+_CHUNK, _KEPT, _NUMBER = "_chunk", "_kept", "_number"
+
+
+def _place() -> Column:
+    return F.col(LOCATOR[1]) + 1
+
+
+def _bitmaps(rows: DataFrame) -> DataFrame:
+    """Positions as bitmaps, one for each 32,768 rows of a file."""
+    bit = F.bitmap_bit_position(_place())
+    return rows.groupBy(LOCATOR[0], F.bitmap_bucket_number(_place()).alias(_CHUNK)).agg(
+        F.bitmap_construct_agg(bit).alias(_KEPT)
+    )
+
+
+def _marked() -> Column:
+    """Is the bit of this row set in the bitmap beside it?"""
+    bit = F.bitmap_bit_position(_place())
+    byte = F.conv(F.hex(F.substring(_KEPT, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+
+def numbered_files(df: DataFrame) -> DataFrame:
+    """The files of stored rows with numbers in the order of their names; to be written, as numbers depend on the plan."""
+    file = LOCATOR[0]
+    return df.select(file).distinct().orderBy(file).withColumn(_NUMBER, F.monotonically_increasing_id())
+
+
+def with_numbers(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored rows with the numbers of their files (written ``numbered_files``) in place of the names, which are longer
+    than the rest of a short row and stand in every one."""
+    file = LOCATOR[0]
+    return df.join(F.broadcast(files), file).drop(file).withColumnRenamed(_NUMBER, file)
+
+
+def with_names(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """Bitmaps with the names of their files again."""
+    file = LOCATOR[0]
+    return kept.withColumnRenamed(file, _NUMBER).join(F.broadcast(files), _NUMBER).select(file, _CHUNK, _KEPT)
+
+
+def few_enough(small: DataFrame) -> bool:
+    """May these written rows (files or bitmaps) be sent to every executor?"""
+    return small.count() <= _BROADCAST
 
 
 def kept_positions(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Positions of the rows that a rule keeps: a bitmap for each 32,768 rows of a file.
+    """Positions of the rows that a rule keeps, as bitmaps.
 
     The rule sees the short columns only, so nothing else is shuffled or sorted.
     """
+    return _bitmaps(rule(df.drop(*WIDE_COLUMNS)))
+
+
+def alone_positions(df: DataFrame, key: Sequence[str | Column]) -> DataFrame:
+    """Positions of rows with a key no other row has, as bitmaps. Files are numbered.
+
+    Only a hash of the key is shuffled with the position, and a frequent key once for each map task. Keys whose hashes
+    are equal by chance count as shared.
+    """
     file, row = LOCATOR
-    place = F.col(row) + 1
-    return (
-        rule(df.drop(*WIDE_COLUMNS))
-        .groupBy(file, F.bitmap_bucket_number(place).alias(_CHUNK))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(_KEPT))
-    )
+    keyed = df.select(F.xxhash64(*key).alias("_key"), file, row)
+    seen = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(file).alias(file), F.min(row).alias(row))
+    return _bitmaps(seen.where(F.col("_n") == 1))
+
+
+def without(df: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows whose position is in none of the (few, written) bitmaps."""
+    chunked = df.withColumn(_CHUNK, F.bitmap_bucket_number(_place()))
+    both = chunked.join(F.broadcast(marked), [LOCATOR[0], _CHUNK], "left")
+    return both.where(~F.coalesce(_marked(), F.lit(False))).select(*df.columns)
+
+
+def within(df: DataFrame, marked: DataFrame, hint: str = "broadcast") -> DataFrame:
+    """Rows whose position is in one of the bitmaps."""
+    chunked = df.withColumn(_CHUNK, F.bitmap_bucket_number(_place()))
+    return chunked.join(marked.hint(hint), [LOCATOR[0], _CHUNK]).where(_marked()).select(*df.columns)
+
+
+def either(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Positions in one set of bitmaps or the other."""
+    return one.unionByName(other).groupBy(LOCATOR[0], _CHUNK).agg(F.bitmap_or_agg(_KEPT).alias(_KEPT))
 
 
 def fetched(df: DataFrame, kept: DataFrame, stored: bool = False) -> DataFrame:
@@ -166,17 +251,7 @@ def fetched(df: DataFrame, kept: DataFrame, stored: bool = False) -> DataFrame:
     Bitmaps take a bit a row. If they are written (``stored``) and few enough, every executor gets them and the long
     rows are not shuffled at all; else they are shuffled once, into a hash join, and never sorted.
     """
-    file, row = LOCATOR
-    few = stored and kept.count() <= _BROADCAST
-    place = F.col(row) + 1
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(_KEPT, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (
-        df.withColumn(_CHUNK, F.bitmap_bucket_number(place))
-        .join(kept.hint("broadcast" if few else "shuffle_hash"), [file, _CHUNK])
-        .where(F.getbit(byte, (bit % 8).cast("int")) == 1)
-        .drop(*LOCATOR, _CHUNK, _KEPT)
-    )
+    return within(df, kept, "broadcast" if stored and few_enough(kept) else "shuffle_hash").drop(*LOCATOR)
 
 
 def _fetched_by_position(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -222,11 +297,19 @@ def staging(silver: DataFrame, tie_breakers: Sequence[Column] | None = None) ->
     return _fetched_by_position(silver, both) if is_stored(silver) else both(silver)
 
 
-def staging_rules(tie_breakers: Sequence[Column] | None = None) -> Callable[[DataFrame], DataFrame]:
+def staging_rules(tie_breakers: Sequence[Column] | None = None) -> Rules:
     """The two rules over all days as one."""
 
-    def rules(df: DataFrame) -> DataFrame:
-        rows = df if tie_breakers is not None else _with_prints(df)
-        return dedup_title_company(dedup_across_days(rows, tie_breakers), tie_breakers).drop(*_PRINTS)
+    def prepared(df: DataFrame) -> DataFrame:
+        return df if tie_breakers is not None else _with_prints(df)
+
+    def last(rows: DataFrame) -> DataFrame:
+        return dedup_title_company(rows, tie_breakers).drop(*_PRINTS)
 
-    return rules
+    steps = [(["job_id"], lambda df: dedup_across_days(prepared(df), tie_breakers))]
+    return Rules(
+        steps,
+        lambda df: last(prepared(df)),
+        lambda df: last(dedup_across_days(prepared(df), tie_breakers)),
+        lambda df: df.where(F.col("job_id").isNotNull()),
+    )
