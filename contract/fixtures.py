@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,16 +170,33 @@ def lazy_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging(silver(spark, sf_dir), staging_ties())
 
 
-def write_staged(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """The same rows written, from stored bronze and silver, as the jobs make them: rules see positions and short columns.
+def write_silver(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The rows of ``silver`` written, from stored bronze, as the jobs make them: rules see positions and short columns.
 
-    Bronze is stored without the derived columns.
+    Bronze is stored without the derived columns, and only until silver is written.
     """
     with written_once(bronze(spark, sf_dir).drop(*DERIVED), "bronze") as rows:
         with kept_by(lake.located(rows), bronze_rules(("run_day",), ties(), with_keys)) as unique:
-            with written_once(project_silver(with_keys(unique), PART_LEXICON), "silver") as days:
-                with kept_by(lake.located(days), staging_rules(staging_ties())) as staged_rows:
-                    staged_rows.write.parquet(folder)
+            days = project_silver(with_keys(unique), PART_LEXICON)
+            days.write.option("compression", "zstd").parquet(folder)
+
+
+@contextmanager
+def written_silver(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The same rows as files while they are needed."""
+    folder = f"{checkpoint_root(spark)}/silver-{uuid.uuid4().hex}"
+    try:
+        write_silver(spark, sf_dir, folder)
+        yield spark.read.parquet(folder)
+    finally:
+        lake.drop_folder(spark, folder)
+
+
+def write_staged(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The same rows written, from stored silver."""
+    with written_silver(spark, sf_dir) as days:
+        with kept_by(lake.located(days), staging_rules(staging_ties())) as staged_rows:
+            staged_rows.write.parquet(folder)
 
 
 def _input_state(spark: SparkSession, sf_dir: str) -> str:
@@ -230,6 +249,29 @@ def bronze_lake(spark: SparkSession, sf_dir: str) -> str:
     return _written[key]
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
+    """Rows that are written once per session."""
+    configure(spark)
+    key = (spark.sparkContext.applicationId, f"{name}:{_input_state(spark, sf_dir)}")
+    if key not in _written:
+        folder = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        write(folder)
+        _written[key] = folder
+    return spark.read.parquet(_written[key])
+
+
+def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``silver`` from files: a rule over its rows does not hold the shuffles that made them."""
+    return _stored(spark, sf_dir, "silver", lambda folder: write_silver(spark, sf_dir, folder))
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules look at of ``postings``, from files likewise."""
+    columns = ["source", "source_id", "title", "company", "fetched_at", "posted_at", *TIE_COLUMNS[:4]]
+    rows = postings(spark, sf_dir).select(*columns)
+    return _stored(spark, sf_dir, "postings", lambda folder: rows.write.option("compression", "zstd").parquet(folder))
+
+
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{_tables_root(spark, sf_dir)}/staging")

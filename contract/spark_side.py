@@ -21,7 +21,7 @@ from stellwerk.plans.scratch import written_once
 from stellwerk.session import checkpoint_root
 from stellwerk.sources import activity_store, lake, status
 from stellwerk.sources.adapters import ADAPTERS
-from stellwerk.sources.unify import filter_categories, filter_sources
+from stellwerk.sources.unify import filter_categories, filter_sources, with_keys
 from stellwerk.sources.visit_log import parse_visit_lines
 from stellwerk.streaming.incremental import run_incremental
 
@@ -72,18 +72,19 @@ def dedup_cross_source(spark, sf_dir):
 
 @register("dedup_chain")
 def dedup_chain(spark, sf_dir):
-    return dedup.dedup_bronze(fx.keyed_postings(spark, sf_dir), (), fx.ties()).select("dedup_key", *_POSTING)
+    rows = dedup.dedup_bronze(fx.stored_postings(spark, sf_dir), (), fx.ties(), with_keys)
+    return rows.select("dedup_key", *_POSTING)
 
 
 @register("dedup_across_days")
 def dedup_across_days(spark, sf_dir):
-    rows = dedup.dedup_across_days(fx.silver(spark, sf_dir), [F.desc("run_day")])
+    rows = dedup.dedup_across_days(fx.stored_silver(spark, sf_dir), [F.desc("run_day")])
     return rows.select("job_id", "run_day", naive("fetched_at"), "title_norm", "company_norm")
 
 
 @register("dedup_title_company")
 def dedup_title_company(spark, sf_dir):
-    rows = dedup.dedup_title_company(fx.silver(spark, sf_dir), [F.desc("run_day"), F.asc("job_id")])
+    rows = dedup.dedup_title_company(fx.stored_silver(spark, sf_dir), [F.desc("run_day"), F.asc("job_id")])
     return rows.select("job_id", "run_day", naive("fetched_at"), "title_norm", "company_norm")
 
 
